@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, canonical, defects, mixing, neardup, overlap, packing, pieces, spans
+from . import boilerplate, canonical, defects, mixing, neardup, overlap, packing, pieces, scans, spans
 
 _CANON = {"clauses": ("clause_id", "original_text"), "pages": ("page_id", "text")}
 
@@ -39,6 +39,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_pieces": lambda s, d: pieces.all_pieces(*_sized(s, d)),
         "p6_found": lambda s, d: boilerplate.found(_t(s, d, "pages")),
         "p6_pages": lambda s, d: boilerplate.cleaned(_t(s, d, "pages")),
+        "p7_found": lambda s, d: scans.found({"pages": (_t(s, d, "pages"), "page_id", "text"), "chapters": (_t(s, d, "chapters"), "chapter_id", "content")}),
+        "p7_pages": lambda s, d: scans.repaired(_t(s, d, "pages"), "page_id", "text"),
         "p8_containers": lambda s, d: packing.packed(_t(s, d, "documents"), _t(s, d, "container_sizes")),
         "p8_fill": lambda s, d: packing.fill_report(_t(s, d, "documents"), _t(s, d, "container_sizes")),
         "p9_selection": lambda s, d: mixing.mixed(_t(s, d, "documents"), _t(s, d, "mix_targets"))[0],

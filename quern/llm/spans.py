@@ -11,7 +11,7 @@ from . import common as C
 from . import kernels as K
 
 #: Code points that a suffix's first depth compares.
-PREFIX = 50
+PREFIX = 60
 DEPTHS = (44, 64)
 _SUFFIX = pa.schema([("label", pa.int64()), ("node", pa.int64())])
 _CLASS = pa.schema([("id", pa.int64()), ("node", pa.int64())])
@@ -61,28 +61,41 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", span
 
     def verify(b: pa.RecordBatch):
         a, c = b.column("a").to_pylist(), b.column("b").to_pylist()
+        kept: dict[int, np.ndarray] = {}  # window hashes of the batch's distinct texts
+
+        def windows(node: int, text: str) -> np.ndarray:
+            if node not in kept:
+                kept[node] = K.window_hash(K.prefix_hash(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)), span)
+            return kept[node]
+
         rows = []
         for i, (s, t) in enumerate(zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist())):
-            one = common_spans(s, t, span)
-            if len(one):
-                rows.append((a[i], c[i], one, common_spans(t, s, span)))
+            x, y = windows(a[i], s), windows(c[i], t)
+            both = np.intersect1d(x, y)
+            if len(both):
+                rows.append((a[i], c[i], _merged(x, both, span), _merged(y, both, span)))
         yield K.table(out, *([list(x) for x in zip(*rows)] if rows else [[], [], [], []]))
 
     return C.map_rows(pairs, ["text_a", "text_b"], verify, out), members, base
 
 
+def _merged(windows: np.ndarray, both: np.ndarray, span: int) -> list[int]:
+    """Merged [start, end, ...] of the windows whose hash is among the sorted common ones."""
+    k = np.searchsorted(both, windows)
+    at = np.flatnonzero(both[np.minimum(k, len(both) - 1)] == windows)
+    cut = np.flatnonzero(at[1:] > at[:-1] + span)
+    start = at[np.append(0, cut + 1)]
+    end = at[np.append(cut, len(at) - 1)] + span
+    return np.stack([start, end], axis=1).ravel().tolist()
+
+
 def common_spans(text: str, other: str, span: int) -> list[int]:
     """Merged [start, end, ...] of text's runs of at least ``span`` code points that other holds."""
     if min(len(text), len(other)) < span:
         return []
     x, y = (K.window_hash(K.prefix_hash(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)), span) for t in (text, other))
-    at = np.flatnonzero(np.isin(x, y))
-    if not len(at):
-        return []
-    cut = np.flatnonzero(at[1:] > at[:-1] + span)
-    start = at[np.append(0, cut + 1)]
-    end = at[np.append(cut, len(at) - 1)] + span
-    return np.stack([start, end], axis=1).ravel().tolist()
+    both = np.intersect1d(x, y)
+    return _merged(x, both, span) if len(both) else []
 
 
 def found(df: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
-"""The queries over the reference tables, gathered from the operator modules."""
+"""The queries over the tables, gathered from the modules of this package."""
 
 from __future__ import annotations
 
+from . import measures, searches, texts
+
+_MODULES = (texts, searches, measures)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.oracle_sql().items()}

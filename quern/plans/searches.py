@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from ..functions import lexicon as X
 from ..operators import bm25, fusion, graph, vector, votes
 from . import lexicons as L
+from . import rag
 from .common import lit, table
 
 _EVAL = "eval_rigor_results_v1_pre_guard"
@@ -75,6 +76,7 @@ def queries() -> dict:
         "rrf_fusion": lambda s, d: fusion.reciprocal_rank([_near(s, d, 10), _near(s, d, 10, "dot")], 60, 5).select("query", "doc", "score", "rank"),
         "prioritized_fill": lambda s, d: fusion.filled([_named(s, d), _bm25(s, d, 10)], 5),
         "hybrid_search": lambda s, d: fusion.reciprocal_rank([_bm25(s, d, 10), _named(s, d)], 60, 5).select("query", "doc", "score", "distance", "rank"),
+        "rag_pipeline": lambda s, d: rag.answer_contexts(t(s, d, _EVAL).where("id % 100 = 0"), t(s, d, "clauses")),
         "pk_lookup": lambda s, d: t(s, d, _EVAL).select("id", F.posexplode("retrieved_ids").alias("pos", "clause_id")).join(t(s, d, "clauses").select("clause_id", "chapter", "original_text"), "clause_id"),
         "clause_formula_join": lambda s, d: t(s, d, "clauses").select("clause_id", F.explode(F.array_distinct(F.regexp_extract_all("original_text", F.lit(_NAME), F.lit(0)))).alias("name")).join(t(s, d, "chapters").select("chapter_id", F.regexp_extract("title", r"^\d+ (.+)$", 1).alias("name")).where("name != ''"), "name"),
         "inverted_index": lambda s, d: graph.neighbours(_edges(s, d), "p", "o").select(F.col("key").alias("part"), "n", F.col("list").alias("orders")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,8 +63,6 @@ def read_documents(spark: SparkSession, path: str, extract: Callable[[bytes], li
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     if files.select("path").isEmpty():
         raise FileNotFoundError(f"no {pattern} in {path}")
-    import pandas as pd
-
     def pages(batches):
         for b in batches:
             rows = [(p.rsplit("/", 1)[-1], n, t) for p, c in zip(b["path"], b["content"]) for n, t in enumerate(extract(bytes(c)), 1)]
@@ -88,8 +87,6 @@ def build_vector_store(df: DataFrame, path: str, id_prefix: str, key: str, text:
     """Write (id, text, metadata, embedding), replacing what was there; the number of rows.
 
     The embedder is the caller's, called with lists of texts; an empty table is an error."""
-    import pandas as pd
-
     rows = df.select(F.concat(F.lit(id_prefix), F.col(key).cast("string")).alias("id"), F.col(text).alias("text"), F.create_map(*[x for m in metadata for x in (F.lit(m), F.col(m).cast("string"))]).alias("metadata"))
     if rows.isEmpty():
         raise ValueError("nothing to index")

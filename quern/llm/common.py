@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut  # noqa: F401 - used as common.cut
 from . import kernels as K
 
 #: Rows of one sorted group that a task holds at once; larger groups are joined by Spark.
@@ -21,24 +20,6 @@ HELD_PAIRS = 1_000_000
 SALT = 8
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or getattr(shared_dir, "own", None) or setattr(shared_dir, "own", tempfile.mkdtemp(prefix="quern-")) or shared_dir.own).rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that no later step (nor a lost
-    executor) recomputes what led to it.  The files go when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """The named column cast to the kind it must have."""
     return F.col(f"`{name}`").cast(kind)

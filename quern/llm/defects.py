@@ -202,7 +202,7 @@ def is_truncated(a: str) -> bool:
 
 
 def defect(question: str | None, answer: str | None) -> str | None:
-    """The defect of a pair, or None: empty, copy, refusal, other_language or truncated, the first that holds."""
+    """The defect of a pair, or None: empty, refusal, copy, other_language or truncated, the first that holds."""
     if answer is None:
         return "empty"
     if len(answer) < 64 or not any(map(str.isalnum, answer[:64])):
@@ -210,10 +210,10 @@ def defect(question: str | None, answer: str | None) -> str | None:
         if not la or la in FILLERS:
             return "empty"
     q = question or ""
-    if len(answer) <= 4 * len(q) + 32 and is_copy(letters(q), letters(answer)):
-        return "copy"
     if len(answer) <= 400 + 2 * len(q) and _NEGATES.search(answer) and is_refusal(q, answer):
         return "refusal"
+    if len(answer) <= 4 * len(q) + 32 and is_copy(letters(q), letters(answer)):
+        return "copy"
     lq, la = language(q), language(answer)
     if lq and la and lq != la and not _ASKS[la].search(q):
         return "other_language"

@@ -55,7 +55,7 @@ def test_canonical_found(spark):
 Q = "请讲解樟霰散的组成和用法。"
 CASES = [
     (None, "empty"), ("", "empty"), ("　\n", "empty"), ("……", "empty"), ("N/A", "empty"), ("（空）", "empty"), ("回答：\n", "empty"), ("​", "empty"), (Q, "copy"), ("问题：" + Q, "copy"), (Q + "\n" + Q, "copy"), (Q[:-1] + "？？", "copy"),
-    ("抱歉，我无法回答这个问题，请咨询医师。", "refusal"), ("作为语言模型，我没有办法判断！", "refusal"), ("关于“" + Q + "”，该内容不予回答。", "refusal"), ("As an AI model I cannot give such advice.", "refusal"),
+    ("抱歉，我无法回答这个问题，请咨询医师。", "refusal"), ("作为语言模型，我没有办法判断！", "refusal"), ("关于“" + Q + "”，该内容不予回答。", "refusal"), ("As an AI model I cannot give such advice.", "refusal"), ("您来信说：" + Q + "\n恕我不能作答。", "refusal"),
     ("他一上来就说“我无法回答”，我笑一笑，继续讲。桂枝三两配生姜四钱，一升一降，肝就通了。", None), (Q + "\n桂枝三两配生姜四钱，一升一降，肝就通了，各位自己体会。再把脉看舌头，不要弄反。", None),
     ("In spring the tired baker drank the powder and his knees eased.", "other_language"), ("腰がむくむうえに腰が痛むときは、湯を九日のみます。", "other_language"), ("桂枝三两配生姜四钱，一升一降，因为", "truncated"), ("共有三种情形：\n1. 发干\n2.", "truncated"),
     ("共有三种情形：\n1. 发干。\n2. 发凉。", "truncated"), ("共有两种情形：\n1. 发干。\n2. 发凉。", None), ("方子是（桂枝三两、", "truncated"), ("他说：“胃津液干。”", None), ("就这样讲完了。记住了吧？😊", None), ("桂枝主治太阳病。【完】", None), ("```\nx = 1。", "truncated"),

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def build(edges: list[tuple[DataFrame, str, str, str]]) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) from frames (src, dst) with their relation and the types of both ends.
@@ -62,3 +64,19 @@ def two_hop(first: DataFrame, second: DataFrame) -> DataFrame:
 def stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, name, n): vertices by type and edges by relation."""
     return vertices.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit("vertex").alias("kind"), F.col("type").alias("name"), "n").unionByName(edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("kind"), F.col("relation").alias("name"), "n"))
+
+
+def closure(edges: DataFrame, depth: int) -> DataFrame:
+    """(src, dst, hops): what is reached from each vertex in at most ``depth`` hops, by the fewest.
+
+    Every round joins only what the last one newly reached; a round that reaches nothing ends it."""
+    step = edges.select("src", "dst").distinct()
+    seen = cut(step.withColumn("hops", F.lit(1)))
+    last = seen
+    for n in range(2, depth + 1):
+        more = last.select("src", F.col("dst").alias("mid")).join(step.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+        last = cut(more.join(seen, ["src", "dst"], "left_anti").withColumn("hops", F.lit(n)))
+        if last.isEmpty():
+            break
+        seen = cut(seen.unionByName(last))
+    return seen

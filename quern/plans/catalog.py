@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import measures, searches, texts
+from . import measures, more, searches, texts
 
-_MODULES = (texts, searches, measures)
+_MODULES = (texts, searches, measures, more)
 
 
 def queries() -> dict:

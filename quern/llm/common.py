@@ -16,8 +16,12 @@ from . import kernels as K
 HELD_ROWS = 50_000
 #: Pairs that a task makes of one group at the deepest level; larger groups are joined by Spark.
 HELD_PAIRS = 1_000_000
-#: Parts into which either side of such a join is salted.
+#: Parts into which either side of such a join, or a hot bucket, is salted.
 SALT = 8
+#: Of a hot bucket's nodes one in so many stands in every part.
+HUB_EVERY = 64
+#: Share of all rows from which a group is hot, rows of the sample that it must be seen in, and share of records sampled to see it.
+HOT_SHARE, HOT_SEEN, SAMPLED = 0.005, 200, 0.01
 
 
 def column(df: DataFrame, name: str, kind: str) -> Column:
@@ -30,11 +34,36 @@ def prefix_of(label: str | Column, bits: int) -> Column:
     return F.shiftrightunsigned(label, 64 - bits)
 
 
-def sorted_by_label(rows: DataFrame, bits: int) -> DataFrame:
+def hot_labels(rows: DataFrame, bits: int) -> list[int]:
+    """Prefixes that hold at least HOT_SHARE of the given sample of rows; at most 1 / HOT_SHARE of them.
+
+    They only decide how the work is spread, never what is found."""
+    counts = rows.groupBy(prefix_of("label", bits).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    top = counts.orderBy(F.desc("n"), "p").limit(int(1 / HOT_SHARE)).collect()
+    total = rows.count() if top and top[0]["n"] >= HOT_SEEN else 0
+    return [r["p"] for r in top if total and r["n"] >= max(HOT_SEEN, total * HOT_SHARE)]
+
+
+def sorted_by_label(rows: DataFrame, bits: int, hot: list[int] = (), spread: Column | None = None) -> DataFrame:
     """Rows (label, node) so that labels with equal first bits share a partition, in order of label.
 
-    The order is that of signed 64-bit numbers; equal prefixes are adjacent in it."""
-    return rows.repartition(prefix_of("label", bits)).sortWithinPartitions("label", "node")
+    The order is that of signed 64-bit numbers; equal prefixes are adjacent in it.  Rows of a hot
+    prefix are spread further by a second key."""
+    p = prefix_of("label", bits)
+    keys = [p, F.when(p.isin(list(hot)), spread).otherwise(F.lit(0).cast("long"))] if hot else [p]
+    return rows.repartition(*keys).sortWithinPartitions("label", "node")
+
+
+def hubs_copied(rows: DataFrame, bits: int, hot: list[int]) -> tuple[DataFrame, Column]:
+    """For links along sorted buckets: rows of hot prefixes dealt to SALT chunks by node, and every
+    HUB_EVERYth node put into all of them, so that the chunks' chains hang together."""
+    if not hot:
+        return rows.select("label", "node"), F.lit(0).cast("long")
+    p = prefix_of("label", bits)
+    own = F.pmod(F.xxhash64("node"), F.lit(SALT))
+    hub = F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(HUB_EVERY)) == 0
+    chunks = F.when(p.isin(list(hot)) & hub, F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).otherwise(F.array(F.when(p.isin(list(hot)), own).otherwise(F.lit(0).cast("long"))))
+    return rows.select("label", "node", F.explode(chunks).alias("chunk")), F.col("chunk")
 
 
 def merged_batches(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -184,12 +213,26 @@ class Linker:
                     yield np.full(len(two), v), two
 
 
-def linked(rows: DataFrame, levels: tuple[int, ...], small: int, sided: bool) -> DataFrame:
-    """Candidate pairs (a, b, n) of nodes with the number of groups they were met in."""
-    found = cut(sorted_by_label(rows, levels[0]).mapInArrow(Linker(levels, small, sided), PAIRS_DDL))
+def linked(rows: DataFrame, levels: tuple[int, ...], small: int, sided: bool, sample: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs (a, b, n) of nodes with the number of groups they were met in.
+
+    ``sample`` are the rows of a sample of the records.  Groups that are hot in it at the first depth
+    are partitioned by their whole labels (only deeper groups are paired in them), and those that are
+    hot at the last depth go straight to the salted join; groups that grow beyond what a task holds
+    without having been seen in the sample leave it as single rows and are joined alike."""
+    first, last = levels[0], levels[-1]
+    wide = hot_labels(sample, first) if sample is not None else []
+    deep = hot_labels(sample, last) if wide else []
+    straight = rows.where(prefix_of("label", last).isin(deep)) if deep else None
+    rest = rows.where(~prefix_of("label", last).isin(deep)) if deep else rows
+    spread = prefix_of("label", last)
+    found = cut(sorted_by_label(rest, first, wide if last != first else [], spread).mapInArrow(Linker(levels, small, sided), PAIRS_DDL))
     made = found.where("not hot").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    hot = found.where("hot").select(prefix_of("a", levels[-1]).alias("p"), F.col("b").alias("node")).distinct()
-    if hot.isEmpty():
+    hot = found.where("hot").select(prefix_of("a", last).alias("p"), F.col("b").alias("node"))
+    if straight is not None:
+        hot = hot.unionByName(straight.select(prefix_of("label", last).alias("p"), "node"))
+    hot = hot.distinct()
+    if straight is None and hot.isEmpty():
         return made
     return made.unionByName(hot_pairs(hot, sided)).groupBy("a", "b").agg(F.sum("n").alias("n"))
 

@@ -55,7 +55,8 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", span
         yield K.table(_SUFFIX, K.signed(label), node[row])
 
     members = C.cut(C.map_rows(base, ["text"], classes, _CLASS))
-    met = C.linked(C.map_rows(base, ["text"], suffixes, _SUFFIX), DEPTHS[:1], C.HELD_PAIRS, sided=False)
+    rows, seen = (C.map_rows(x, ["text"], suffixes, _SUFFIX) for x in (base, base.sample(C.SAMPLED, 7)))
+    met = C.linked(rows, DEPTHS[:1], C.HELD_PAIRS, False, seen)
     pairs = C.with_texts(met.select("a", "b"), members, base, ["text"])
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("spans_a", pa.list_(pa.int64())), ("spans_b", pa.list_(pa.int64()))])
 

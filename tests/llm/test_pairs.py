@@ -187,3 +187,49 @@ def test_codepoints_slices_and_nulls():
 
 def test_depth_is_shortened_to_the_recall():
     assert neardup.depth_for(0.6) == 4 and neardup.depth_for(0.9) == 6 and neardup.depth_for(0.1) == 1
+
+
+@pytest.fixture
+def hot(monkeypatch):
+    """Groups count as hot at once, as in a table a third of whose rows are near copies."""
+    monkeypatch.setattr(common, "HOT_SEEN", 10)
+    monkeypatch.setattr(common, "SAMPLED", 1.0)
+
+
+@pytest.fixture(scope="module")
+def crowd():
+    rng = random.Random(11)
+    seed = text(rng, 150)
+    rows = []
+    for i in range(450):
+        t = text(rng, 150)
+        if i % 3 == 0:
+            t = edited(rng, seed, rng.randrange(0, 4))
+        rows.append((i, "问", t, "val" if i % 15 == 0 else "train", "s", "x", "y", "z"))
+    return rows
+
+
+def test_hot_near_duplicates(spark, hot, crowd):
+    got = {r["id"]: r["group_id"] for r in neardup.groups(spark.createDataFrame(crowd, SFT)).collect()}
+    assert {got[i] for i in range(0, 450, 3)} == {0} and len(set(got.values())) == 301
+
+
+def test_hot_overlap(spark, hot, crowd):
+    got = {tuple(r) for r in overlap.found(spark.createDataFrame(crowd, SFT)).collect()}
+    a = [r for r in crowd if r[0] % 3 == 0]
+    want = {tuple(sorted((x[0], y[0]))) for x in a for y in a if x[3] == "val" and y[3] == "train" and likeness(x[1] + x[2], y[1] + y[2]) >= 0.7}
+    assert len(want) > 3000 and got == want
+
+
+def test_hot_spans(spark, hot):
+    rng = random.Random(13)
+    quote = text(rng, 120)
+    rows = [(i, text(rng, 60) + (quote if i % 3 == 0 else text(rng, 120)) + text(rng, 60)) for i in range(300)]
+    got = {tuple(r) for r in spans.found(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    ids = range(0, 300, 3)
+    assert got == {(a, b) for a in ids for b in ids if a < b}
+
+
+def test_hot_labels(spark, hot):
+    rows = spark.createDataFrame([(5 << 40, i) for i in range(50)] + [(i << 41, i) for i in range(1, 400)], "label bigint, node bigint")
+    assert common.hot_labels(rows, 24) == [5] and common.hot_labels(rows.limit(0), 24) == []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup, metrics, samples
-from ..session import cut
+from ..session import cut, spread
 from ..streaming import events
 from . import lexicons as L
 from .common import lit, table, words
@@ -57,7 +57,8 @@ def _masked(s, d):
 
 def _refined(s, d):
     """Clean, drop what does not teach, mend openings, cut to length, name, keep firsts."""
-    x = table(s, d, "sft_samples").where("output is not null").select("sample_id", "book", T.strip(T.strip_foreign(T.strip_episode(F.col("output")))).alias("text"))
+    x = spread(table(s, d, "sft_samples").where("output is not null").select("sample_id", "book", "output"))
+    x = x.select("sample_id", "book", T.strip(T.strip_foreign(T.strip_episode(F.col("output")))).alias("text"))
     x = cut(x)
     x = x.where((F.length("text") >= 50) & ~T.is_contents_page(F.col("text"))).select("sample_id", "book", T.fix_opening(F.col("text"), least=100).alias("text")).where("text is not null")
     x = x.select("sample_id", "book", F.posexplode(T.pack_sentences(F.col("text"), 800, 200, "。！？\n")).alias("n", "output"))

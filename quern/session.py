@@ -50,3 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a plain scan that has few partitions (one small file) dealt to all cores; others as they are.
+
+    A scan of many or large files already has a partition for every core and is not shuffled."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        return df  # it shuffles anyway
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if plan.execute().getNumPartitions() * 2 > cores else df.repartition(cores)

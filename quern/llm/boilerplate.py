@@ -114,6 +114,7 @@ def repeated_lines(df: DataFrame, id_col: str = "page_id", source: str = "pdf_na
     empty table gives no rows; other columns are ignored.
     """
     base = df.select(C.column(df, id_col, "long").alias("page"), F.xxhash64(F.coalesce(C.column(df, source, "string"), F.lit("\x00"))).alias("src"), C.column(df, text, "string").alias("text")).where("page is not null")
+    base = C.spread(base)
     rows = base.groupBy("src").agg(F.greatest(F.ceil(F.count(F.lit(1)) * F.lit(min_share) - F.lit(1e-9)), F.lit(min_rows)).alias("need"))
 
     def cut(b: pa.RecordBatch):

@@ -163,7 +163,7 @@ def canonical_texts(df: DataFrame, id_col: str, text: str, words: tuple | None =
     on what is equal, so texts that look the same come out equal whatever the vocabulary is.
     Null texts stay null, empty ones empty; rows and repeats are kept; other columns are ignored.
     """
-    base = df.select(C.column(df, id_col, "long").alias("key"), C.column(df, text, "string").alias("text"))
+    base = C.spread(df.select(C.column(df, id_col, "long").alias("key"), C.column(df, text, "string").alias("text")))
     known = vocabulary(base) if words is None else words
     shared = df.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("key", pa.int64()), ("text", pa.string()), ("canonical", pa.string())])

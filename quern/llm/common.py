@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut  # noqa: F401 - used as common.cut
+from ..session import cut, spread  # noqa: F401 - used as common.cut, common.spread
 from . import kernels as K
 
 #: Rows of one sorted group that a task holds at once; larger groups are joined by Spark.

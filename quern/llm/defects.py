@@ -230,6 +230,7 @@ def defects(df: DataFrame, id_col: str, question: str, answer: str, table_name:
     table gives no rows; other columns are ignored; texts are parsed whatever their length.
     """
     base = df.select(C.column(df, id_col, "long").alias("row_key"), C.column(df, question, "string").alias("q"), C.column(df, answer, "string").alias("a"))
+    base = C.spread(base)
     schema = pa.schema([("row_key", pa.int64()), ("defect", pa.string())])
 
     def judge(b: pa.RecordBatch):

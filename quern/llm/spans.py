@@ -33,6 +33,7 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", span
     """
     skip = span - PREFIX + 1
     base = df.select(C.column(df, id_col, "long").alias("id"), C.column(df, text, "string").alias("text")).where(f"id is not null and length(text) >= {span}")
+    base = C.spread(base)
 
     def classes(b: pa.RecordBatch):
         cp, starts = K.codepoints(b.column("text"))

@@ -31,6 +31,7 @@ def encoder(folder: str = FOLDER, file: str = FILE):
 def token_counts(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), folder: str = FOLDER, file: str = FILE) -> DataFrame:
     """(id, *keep, tokens): tokens of each whole text; null and empty texts have none."""
     base = df.select(C.column(df, id_col, "long").alias("id"), *[C.column(df, k, "string").alias(k) for k in keep], C.column(df, text, "string").alias("text"))
+    base = C.spread(base)
     schema = pa.schema([("id", pa.int64()), *[(k, pa.string()) for k in keep], ("tokens", pa.int64())])
 
     def count(b: pa.RecordBatch):

@@ -103,7 +103,8 @@ def _chunks(b: pa.RecordBatch, least: int):
 
 
 def repeated_lines(df: DataFrame, id_col: str = "page_id", source: str = "pdf_name", text: str = "text", min_rows: int = 4, min_share: float = 0.20, least: int = 6) -> DataFrame:
-    """(page, at, src): places of lines that stand on many rows of their source.
+    """(page, at, src, line): places of lines that stand on many rows of their source; line is a hash of
+    what makes lines the same.
 
     Method: every line, in compatibility form without blanks and digits, is cut into content-defined
     chunks at places that a rolling hash chooses.  Distinct rows are counted per source and chunk;
@@ -126,7 +127,7 @@ def repeated_lines(df: DataFrame, id_col: str = "page_id", source: str = "pdf_na
     lines = kept.groupBy("src", "line", "page", "at").agg(F.count(F.lit(1)).alias("have"), F.max("parts").alias("parts")).where("have = parts")
     lines = C.cut(lines.select("src", "line", "page", "at"))
     whole = lines.groupBy("src", "line").agg(F.countDistinct("page").alias("n")).join(rows, "src").where("n >= need").select("src", "line")
-    return lines.join(whole, ["src", "line"], "left_semi").select("page", "at", "src")
+    return lines.join(whole, ["src", "line"], "left_semi").select("page", "at", "src", "line")
 
 
 def found(df: DataFrame) -> DataFrame:
@@ -134,6 +135,16 @@ def found(df: DataFrame) -> DataFrame:
     return repeated_lines(df).select(F.col("page").alias("page_id"), F.col("at").alias("line_no")).distinct()
 
 
+def lines_by_source(df: DataFrame, id_col: str = "page_id", source: str = "pdf_name", text: str = "text") -> DataFrame:
+    """(source, line, n_rows, places): each repeated line of each source, in one of its stored forms."""
+    at = repeated_lines(df, id_col=id_col, source=source, text=text)
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").cast("string").alias("text"))
+    per = at.groupBy("page").agg(F.collect_set(F.struct("at", "line")).alias("ats"))
+    each = rows.join(per, "page").select("page", "source", F.split("text", "\n", -1).alias("ls"), F.explode("ats").alias("x"))
+    each = each.select("page", "source", F.col("x.line").alias("h"), F.element_at("ls", F.col("x.at").cast("int")).alias("line"))
+    return each.groupBy("source", "h").agg(F.min("line").alias("line"), F.countDistinct("page").alias("n_rows"), F.count(F.lit(1)).alias("places")).drop("h")
+
+
 def cleaned(df: DataFrame, id_col: str = "page_id", text: str = "text") -> DataFrame:
     """(page_id, n_removed, text): pages without the repeated lines; other lines stay as stored."""
     gone = repeated_lines(df, id_col=id_col, text=text).groupBy("page").agg(F.collect_set("at").alias("gone"))

@@ -127,3 +127,14 @@ def coverage(df: DataFrame, id_col: str = "doc_id", text: str = "text", span: in
     shared = F.when(F.col("copies") > 1, F.col("n_chars").cast("long")).otherwise(F.coalesce("chars", F.lit(0)))
     done = rows.join(info, "id", "left").withColumn("shared_chars", shared)
     return done.select("id", "n_chars", "shared_chars", F.round(F.col("shared_chars") / F.greatest("n_chars", F.lit(1)), 4).alias("shared_share"), (F.coalesce("partners", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_partners"))
+
+
+def passages(df: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = 100) -> DataFrame:
+    """(id, start, length, partners): every maximal passage of a record that another distinct text holds too,
+    with the number of such texts; copies of one text give the same passages."""
+    pairs, members, _ = shared_spans(df, id_col, text, span)
+    pairs = C.cut(pairs)
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), F.col("spans_a").alias("s")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), F.col("spans_b").alias("s")))
+    each = both.select("node", F.explode(F.expr("transform(sequence(0, cast(size(s) / 2 as int) - 1), i -> struct(s[2*i] as lo, s[2*i+1] as hi))")).alias("x"))
+    count = each.groupBy("node", F.col("x.lo").alias("start"), (F.col("x.hi") - F.col("x.lo")).alias("length")).agg(F.count(F.lit(1)).alias("partners"))
+    return members.join(count, "node").select("id", "start", "length", "partners").distinct()

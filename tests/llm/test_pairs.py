@@ -98,6 +98,8 @@ def test_shared_spans(spark):
     cover = {r["id"]: r for r in spans.coverage(df).collect()}
     assert cover[93]["shared_chars"] == 100 and cover[95]["shared_chars"] == 0 and cover[90]["n_chars"] == 0
     assert cover[96]["shared_chars"] == 310
+    long = {(r["start"], r["length"]) for r in spans.passages(df).where("id = 96").collect()}
+    assert long == {(0, 210), (211, 100)}
 
 
 @pytest.mark.parametrize("f,schema,cols", [(overlap.found, SFT, 2), (neardup.found, SFT, 2), (spans.found, "doc_id bigint, text string", 2)])

@@ -134,6 +134,8 @@ def test_repeated_lines(spark):
     assert len(want) > 50 and {tuple(r) for r in boilerplate.found(df).collect()} == want
     clean = {r["page_id"]: r for r in boilerplate.cleaned(df).collect()}
     assert all(clean[i]["text"] == "\n".join(x for n, x in enumerate(t.split("\n"), 1) if (i, n) not in want) for i, _, t in rows if t and i is not None)
+    lines = boilerplate.lines_by_source(df).collect()
+    assert sum(r["places"] for r in lines) == len(want) and all(r["n_rows"] <= r["places"] for r in lines)
     assert boilerplate.found(df.limit(0)).count() == 0
 
 

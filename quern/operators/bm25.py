@@ -39,7 +39,7 @@ def top_k(
     part = F.col("qtf") * F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = weights.join(post, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "doc")))
-    return ranked.where(f"rank <= {k}").where("score > 0").select("query", "doc", "score", "rank")
+    return ranked.where(f"rank <= {k}").where("score > 0").select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def sql(docs: str, queries: str, doc_key: str, doc_text: str, query_key: str, query_text: str, k: int = 5, where: str = "true") -> str:

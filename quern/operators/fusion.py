@@ -18,7 +18,7 @@ def reciprocal_rank(lists: list[DataFrame], k: int = 60, top: int | None = None)
     fused = tagged.groupBy("query", "doc").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 9).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
     w = W.partitionBy("query")
     out = fused.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "first", "doc"))).withColumn("distance", F.round(1 - F.col("score") / F.max("score").over(w), 6))
-    out = out.select("query", "doc", F.round("score", 6).alias("score"), "distance", "rank")
+    out = out.select("query", "doc", F.round("score", 6).alias("score"), "distance", F.col("rank").cast("long").alias("rank"))
     return out.where(f"rank <= {top}") if top else out
 
 
@@ -27,4 +27,4 @@ def filled(stages: list[DataFrame], k: int) -> DataFrame:
     tagged = reduce(DataFrame.unionByName, [x.select("query", "doc", F.struct(F.lit(i).alias("stage"), F.col("rank")).alias("at")) for i, x in enumerate(stages)])
     first = tagged.groupBy("query", "doc").agg(F.min("at").alias("at"))
     w = W.partitionBy("query").orderBy("at", "doc")
-    return first.withColumn("n", F.row_number().over(w)).where(f"n <= {k}").select("query", "doc", F.col("at.stage").alias("stage"), F.col("n").alias("rank"))
+    return first.withColumn("n", F.row_number().over(w)).where(f"n <= {k}").select("query", "doc", F.col("at.stage").alias("stage"), F.col("n").cast("long").alias("rank"))

@@ -48,4 +48,4 @@ def top_k(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5
 
     near = met.mapInArrow(rank, "query long, doc long, score double")
     w = W.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return near.withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}").select("query", "doc", (F.col("score") + 0.0).alias("score"), "rank")
+    return near.withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}").select("query", "doc", (F.col("score") + 0.0).alias("score"), F.col("rank").cast("long").alias("rank"))

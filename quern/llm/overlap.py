@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import kernels as K
 
-#: Letters of a suffix that its first depth compares; further depths compare twice and four times as many.
+#: Letters of a suffix that a group compares.
 SPAN = 16
 #: Neighbouring suffixes of which one is kept; records sharing SPAN + SKIP - 1 letters in a row share a kept one.
 SKIP = 16
-#: Bits of a label for the three depths.
-DEPTHS = (36, 50, 64)
-#: Cross-split pairs of a group that are made before the group is split by longer prefixes.
-SMALL = 64
+#: Letters of a shingle, and 64-bit words of the bitmap that marks a record's shingles.
+SHINGLE, WORDS = 5, 16
 
 _SUFFIX = pa.schema([("label", pa.int64()), ("node", pa.int64())])
-_CLASS = pa.schema([("id", pa.int64()), ("node", pa.int64())])
+_MARKS = [f"m{i}" for i in range(WORDS)]
+_CLASS = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("shingles", pa.int64()), *((m, pa.int64()) for m in _MARKS)])
+_CROSSING = pa.schema([("label", pa.int64()), ("node", pa.int64()), ("parts", pa.int32())])
 
 
 def _nodes(batch: pa.RecordBatch, least: int):
@@ -42,6 +42,77 @@ def _nodes(batch: pa.RecordBatch, least: int):
     return cp, starts, node, (n2 >= least) & (side >= 0)
 
 
+def _marks(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of each row, repeats counted, and the bitmap of their hashes.
+
+    Each bit in which two bitmaps differ takes a shingle that only one of the rows has."""
+    h = K.window_hash(K.prefix_hash(cp), SHINGLE)
+    row = K.rows_of(starts)[: len(h)]
+    use = K.inside(starts, SHINGLE, len(h))
+    n, bits = len(starts) - 1, 64 * WORDS
+    h, row = h[use], row[use]
+    seen = np.zeros(n * bits, dtype=bool)
+    for i in range(0, len(h), 1 << 18):  # bounded memory
+        part = slice(i, i + (1 << 18))
+        seen[row[part] * bits + (h[part] % np.uint64(bits)).astype(np.int64)] = True
+    return np.bincount(row, minlength=n), np.packbits(seen).view(np.int64).reshape(n, WORDS)
+
+
+def _crossing(batches):
+    """Of rows sorted by label, those of groups with both sides, and the parts into which the group's
+    pairs are dealt; a group larger than a task holds passes whole."""
+
+    def whole(lab, node):
+        return K.table(_CROSSING, lab, node, np.full(len(lab), C.SALT, dtype=np.int32))
+
+    def closed(lab, node):
+        _, size, run = C._cuts(lab)
+        one = np.bincount(run, weights=node & 1, minlength=len(size)).astype(np.int64)
+        made = one * (size - one)
+        keep = (made > 0)[run]
+        parts = np.where(made > C.HELD_PAIRS, C.SALT, 1).astype(np.int32)[run]
+        return K.table(_CROSSING, lab[keep], node[keep], parts[keep])
+
+    lab = node = np.zeros(0, dtype=np.int64)
+    large = None
+    for a, b in C.merged_batches(batches):
+        lab, node = np.concatenate([lab, a]), np.concatenate([node, b])
+        if large is not None:
+            k = int(np.searchsorted(lab, large, "right"))
+            yield whole(lab[:k], node[:k])
+            lab, node = lab[k:], node[k:]
+            if not len(lab):
+                continue
+            large = None
+        k = int(np.searchsorted(lab, lab[-1], "left"))
+        if k:
+            yield closed(lab[:k], node[:k])
+            lab, node = lab[k:], node[k:]
+        if len(lab) > C.HELD_ROWS:
+            yield whole(lab, node)
+            large, lab, node = lab[-1], lab[:0], node[:0]
+    if len(lab):
+        yield closed(lab, node)
+
+
+def _met(rows: DataFrame, sample: DataFrame, marks: DataFrame, likeness: float) -> DataFrame:
+    """(a, b): every pair of nodes of unlike sides that share a group and whose bitmaps allow the likeness.
+
+    Groups seen to be hot in the sample are not gathered in a task, only dealt to parts."""
+    hot = C.hot_labels(sample, 64)
+    rest = rows.where(~F.col("label").isin(hot)) if hot else rows
+    kept = C.sorted_by_label(rest, 64).mapInArrow(_crossing, "label long, node long, parts int")
+    if hot:
+        kept = kept.unionByName(rows.where(F.col("label").isin(hot)).distinct().withColumn("parts", F.lit(C.SALT)))
+    full = C.cut(kept).join(marks, "node")
+    one = full.where("(node & 1) = 1").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    two = full.where("(node & 1) = 0").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    one, two = (x.select("label", "part", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "shingles", *_MARKS)]) for x, s in ((one, 1), (two, 2)))
+    apart = " + ".join(f"bit_count({m}_1 ^ {m}_2)" for m in _MARKS)
+    on = one.join(two, ["label", "part"]).where(f"{apart} <= (shingles_1 + shingles_2) * {(1 - likeness) / (1 + likeness)}D + 1e-6D")
+    return on.select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
+
+
 def cross_split_pairs(
     df: DataFrame, id_col: str = "sample_id", head: str = "instruction", body: str = "output", split: str = "split",
     train: tuple[str, ...] = ("train",), evaluation: tuple[str, ...] = ("val", "test"), likeness: float = 0.70, least: int = 60,
@@ -52,10 +123,12 @@ def cross_split_pairs(
     Method: the letters of all records form one text, whose suffixes are partitioned by a hash of
     their first SPAN letters and sorted within (a suffix array in parts).  Only suffixes at
     content-defined places are kept.  Suffixes of unlike splits that meet in a group share a span;
-    a group holding more than SMALL such pairs is split by longer common prefixes.  Pairs met at
-    two places or more are verified on their texts, where shared spans are merged into the share
-    of the evaluation record that they cover.  What splitting may have parted is made up for: all
-    cross-split pairs of records that verified pairs connect are verified too.
+    all such pairs of every group are compared, however many they are (large groups in salted
+    parts), by bitmaps of the records' shingles: two records differ in at least as many shingles as
+    their bitmaps in bits, so a pair that is too far apart there cannot have the likeness.  The
+    others are verified on their texts, where shared spans are merged into the share of the
+    evaluation record that they cover.  Records without a common place are found through others:
+    all cross-split pairs of records that verified pairs connect are verified too.
 
     Returns (pairs, classes): pairs (a, b, likeness, coverage) with nodes a, b, and classes
     (id, node).  Null texts count as empty; records with a null id or another split, and bodies of
@@ -67,8 +140,9 @@ def cross_split_pairs(
     base = C.spread(base.where("id is not null and side >= 0"))
 
     def classes(b: pa.RecordBatch):
-        _, _, node, ok = _nodes(b, least)
-        yield K.table(_CLASS, b.column("id").to_numpy()[ok], node[ok])
+        cp, starts, node, ok = _nodes(b, least)
+        n, marks = _marks(cp, starts)
+        yield K.table(_CLASS, b.column("id").to_numpy()[ok], node[ok], n[ok], *marks[ok].T)
 
     def suffixes(b: pa.RecordBatch):
         cp, starts, node, ok = _nodes(b, least)
@@ -81,26 +155,29 @@ def cross_split_pairs(
         row = K.rows_of(starts)[at]
         keep = (ok & alone)[row]
         at, row = at[keep], row[keep]
-        end = starts[row + 1]
-        two = K.segment_hash(pre, at, np.minimum(at + 2 * SPAN, end))
-        four = K.segment_hash(pre, at, np.minimum(at + 4 * SPAN, end))
-        d1, d2, d3 = DEPTHS
-        u = np.uint64
-        label = (hashes[at] >> u(64 - d1) << u(64 - d1)) | (two >> u(64 - (d2 - d1)) << u(64 - d2)) | (four >> u(64 - (d3 - d2)))
-        yield K.table(_SUFFIX, K.signed(label), node[row])
+        yield K.table(_SUFFIX, K.signed(hashes[at]), node[row])
 
     members = C.cut(C.map_rows(base, ["head", "body"], classes, _CLASS))
     rows, seen = (C.map_rows(x, ["head", "body"], suffixes, _SUFFIX) for x in (base, base.sample(C.SAMPLED, 7)))
-    met = C.linked(rows, DEPTHS, SMALL, True, seen).where("n >= 2")
-    met = C.cut(met.select("a", "b"))
+    marks = members.groupBy("node").agg(*[F.max(c).alias(c) for c in ("shingles", *_MARKS)])
+    met = C.cut(_met(rows, seen, marks, likeness))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64()), ("coverage", pa.float64())])
 
     def verify(b: pa.RecordBatch):
         d = {c: b.column(c).to_pylist() for c in b.schema.names}
         rows = []
+        kept: dict[int, tuple[str, frozenset]] = {}  # letters and shingles of the batch's distinct records
+
+        def shingled(node: int, head: str | None, body: str | None) -> tuple[str, frozenset]:
+            if node not in kept:
+                t = "".join(filter(str.isalnum, (head or "") + (body or "")))
+                kept[node] = t, K.shingle_sets(t)
+            return kept[node]
+
         for i, (x, y) in enumerate(zip(d["a"], d["b"])):
-            tx, ty = ("".join(filter(str.isalnum, (d[f"head_{s}"][i] or "") + (d[f"body_{s}"][i] or ""))) for s in "ab")
-            one, two = K.shingle_sets(tx), K.shingle_sets(ty)
+            (tx, one), (ty, two) = (shingled(v, d[f"head_{s}"][i], d[f"body_{s}"][i]) for v, s in ((x, "a"), (y, "b")))
+            if min(len(one), len(two)) < likeness * max(len(one), len(two)) - 1e-9:
+                continue
             both = len(one & two)
             like = both / max(1, len(one) + len(two) - both)
             if like >= likeness:
@@ -114,7 +191,7 @@ def cross_split_pairs(
     pairs = verified(met)
     near = C.components(pairs).select(F.col("root").alias("p"), "node")
     rest = C.cut(C.hot_pairs(near, sided=True).select("a", "b").join(met, ["a", "b"], "left_anti"))
-    return pairs if rest.isEmpty() else pairs.unionByName(verified(rest)), members
+    return pairs if rest.isEmpty() else pairs.unionByName(verified(rest)), members.select("id", "node")
 
 
 def covered(text: str, other: str, span: int = SPAN) -> float:

@@ -235,3 +235,28 @@ def test_hot_spans(spark, hot):
 def test_hot_labels(spark, hot):
     rows = spark.createDataFrame([(5 << 40, i) for i in range(50)] + [(i << 41, i) for i in range(1, 400)], "label bigint, node bigint")
     assert common.hot_labels(rows, 24) == [5] and common.hot_labels(rows.limit(0), 24) == []
+
+
+def test_overlap_of_a_crowded_family(spark):
+    """Seventy short edited copies: their groups hold far more pairs than a few, and no long run is shared by all."""
+    rng = random.Random(17)
+    rows = []
+    for _ in range(2):
+        seed = text(rng, 100)
+        rows += [(len(rows) + i, "", edited(rng, seed, 2), "val" if i < 24 else "train", "s", "x", "y", "z") for i in range(70)]
+    got = {tuple(r) for r in overlap.found(spark.createDataFrame(rows, SFT)).collect()}
+    want = {tuple(sorted((a[0], b[0]))) for a in rows for b in rows if a[3] == "val" and b[3] == "train" and likeness(a[2], b[2]) >= 0.7}
+    assert len(want) > 500 and got == want
+
+
+@pytest.mark.parametrize("held,pairs", [(10**6, 10**6), (5, 10**6), (5, 2), (10**6, 2)])
+def test_crossing_keeps_all_groups_with_both_sides(monkeypatch, held, pairs):
+    monkeypatch.setattr(common, "HELD_ROWS", held)
+    monkeypatch.setattr(common, "HELD_PAIRS", pairs)
+    real = common.merged_batches
+    monkeypatch.setattr(common, "merged_batches", lambda b: real(b, 4))
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(l), int(n)) for l, n in zip(rng.choice([-9, 1, 2, 3], 90), rng.integers(0, 40, 90))} | {(7, n) for n in range(0, 20, 2)})
+    batches = (pa.record_batch([pa.array([r[0] for r in rows[i : i + 3]], pa.int64()), pa.array([r[1] for r in rows[i : i + 3]], pa.int64())], names=["label", "node"]) for i in range(0, len(rows), 3))
+    out = [t for b in overlap._crossing(batches) for t in zip(*(b.column(i).to_pylist() for i in range(3)))]
+    assert {r for r in rows if r[0] != 7} <= {t[:2] for t in out} <= set(rows) and len(out) == len(set(out))

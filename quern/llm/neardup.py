@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import kernels as K
 
-#: Trees of the forest, the longest prefix a tree holds, and neighbours each entry is linked to.
-TREES, LONGEST, NEAR = 36, 6, 3
+#: Trees of the forest, and the longest prefix a tree holds.
+TREES, LONGEST = 36, 6
 _ENTRY = pa.schema([("label", pa.int64()), ("node", pa.int64())])
 _CLASS = pa.schema([("id", pa.int64()), ("node", pa.int64())])
 
@@ -32,37 +32,16 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     return (s[:n] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (s[n:] >> np.uint64(32)).astype(np.uint32)
 
 
-def _neighbours(bits: int):
-    """Links each entry of a sorted tree to the NEAR entries before it that share the prefix; the
-    order is that of the whole prefixes, so the longest matches come first."""
-
-    def run(batches):
-        lab = node = np.zeros(0, dtype=np.int64)
-        for a, b in C.merged_batches(batches):
-            old = len(lab)
-            lab, node = np.concatenate([lab, a]), np.concatenate([node, b])
-            p = lab.view(np.uint64) >> np.uint64(64 - bits)
-            for d in range(1, NEAR + 1):
-                i = np.arange(max(d, old), len(p))
-                i = i[(p[i] == p[i - d]) & (node[i] != node[i - d])]
-                if len(i):
-                    x, y = node[i], node[i - d]
-                    yield K.table(C.PAIRS, np.minimum(x, y), np.maximum(x, y), np.zeros(len(i), dtype=bool))
-            lab, node = lab[-NEAR:], node[-NEAR:]
-
-    return run
-
-
 def near_duplicates(df: DataFrame, id_col: str = "sample_id", text: str = "output", likeness: float = 0.60, shingle: int = 5, least: int = 60, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
     """Groups of records whose texts are alike, directly or through others.
 
     Method: an LSH forest.  Each distinct letter text gets TREES sequences of MinHash values; each
     tree holds the sequences as labels in sorted order, which is a prefix trie.  Matched prefixes
     are shortened from LONGEST until two texts of the wanted likeness meet with probability
-    ``recall``.  At that depth each entry is linked to its nearest entries in sorted order, so the
-    work is linear in a bucket however many rows it holds; buckets that a sample of the records shows
-    to be hot are dealt to several tasks that share some nodes; pairs are then verified on whole texts
-    and the verified links joined into components.
+    ``recall``.  At that depth all entries of a bucket are paired, however many it holds; buckets that
+    a sample of the records shows to be hot, or that a task cannot hold, are paired by a salted join;
+    pairs are then verified on whole texts and the verified links joined into components.  So the
+    work is quadratic in the distinct texts of a bucket; equal texts are one.
 
     Returns (groups, classes): groups (node, root, links) with one row per distinct text that has a
     partner, and classes (id, node).  Texts of fewer than ``least`` letters, null and empty texts
@@ -109,10 +88,7 @@ def near_duplicates(df: DataFrame, id_col: str = "sample_id", text: str = "outpu
     members = C.cut(C.map_rows(base, ["text"], classes, _CLASS))
     bits = tree_bits + sum(level_bits[:depth])
     rows, seen = (C.map_rows(x, ["text"], entries, _ENTRY) for x in (base, base.sample(C.SAMPLED, 7)))
-    hot = C.hot_labels(seen, bits)
-    rows, chunk = C.hubs_copied(rows, bits, hot)
-    forest = C.sorted_by_label(rows, bits, hot, chunk).select("label", "node")
-    met = C.cut(forest.mapInArrow(_neighbours(bits), C.PAIRS_DDL).select("a", "b").distinct())
+    met = C.cut(C.linked(rows, (bits,), C.HELD_PAIRS, False, seen).select("a", "b"))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(b: pa.RecordBatch):

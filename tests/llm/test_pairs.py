@@ -260,3 +260,14 @@ def test_crossing_keeps_all_groups_with_both_sides(monkeypatch, held, pairs):
     batches = (pa.record_batch([pa.array([r[0] for r in rows[i : i + 3]], pa.int64()), pa.array([r[1] for r in rows[i : i + 3]], pa.int64())], names=["label", "node"]) for i in range(0, len(rows), 3))
     out = [t for b in overlap._crossing(batches) for t in zip(*(b.column(i).to_pylist() for i in range(3)))]
     assert {r for r in rows if r[0] != 7} <= {t[:2] for t in out} <= set(rows) and len(out) == len(set(out))
+
+
+def test_near_duplicates_compare_whole_buckets(spark):
+    """A family in which few pairs are alike: another member stands between them in their bucket."""
+    rng = random.Random(19)
+    seed = text(rng, 200)
+    rows = [(i, "", edited(rng, seed, 7), "train", "s", "x", "y", "z") for i in range(150)]
+    got = {r["id"]: r["links"] for r in neardup.groups(spark.createDataFrame(rows, SFT)).collect()}
+    want = {a[0]: sum(likeness(a[2], b[2]) >= 0.6 for b in rows if b is not a) for a in rows}
+    assert sum(want.values()) > 1000
+    assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.97 * sum(want.values())

@@ -138,15 +138,16 @@ class Linker:
             yield from self._pairs(lab, node)
 
     def _inner(self, lab: np.ndarray, open_at: int) -> int:
-        for bits in self.levels:
-            p = lab.view(np.uint64) >> np.uint64(64 - bits)
-            if bits != self.levels[-1]:
-                self.big[bits] = int(p[-1])
-            else:
-                differs = p[open_at:] != p[-1]
-                if differs.any():
-                    return len(p) - int((p[::-1] != p[-1]).argmax())
-        return open_at
+        """Where the open group can be cut: before the last group of the shortest depth that a task
+        can hold.  Only depths whose open group is larger than that are marked."""
+        start = open_at
+        for bits, deeper in zip(self.levels, self.levels[1:]):
+            self.big[bits] = int(lab.view(np.uint64)[-1] >> np.uint64(64 - bits))
+            p = lab.view(np.uint64) >> np.uint64(64 - deeper)
+            start = max(open_at, len(p) - int((p[::-1] != p[-1]).argmax())) if (p != p[-1]).any() else open_at
+            if len(p) - start <= HELD_ROWS:
+                break
+        return start
 
     def _hot(self, lab, node) -> pa.RecordBatch:
         return K.table(PAIRS, lab, node, np.ones(len(lab), dtype=bool))
@@ -203,15 +204,15 @@ def linked(rows: DataFrame, levels: tuple[int, ...], small: int, sided: bool, sa
     """Candidate pairs (a, b, n) of nodes with the number of groups they were met in.
 
     ``sample`` are the rows of a sample of the records.  Groups that are hot in it at the first depth
-    are partitioned by their whole labels (only deeper groups are paired in them), and those that are
-    hot at the last depth go straight to the salted join; groups that grow beyond what a task holds
+    are partitioned by the next depth, so that its groups stay whole, and those that are hot at the
+    last depth go straight to the salted join; groups that grow beyond what a task holds
     without having been seen in the sample leave it as single rows and are joined alike."""
     first, last = levels[0], levels[-1]
     wide = hot_labels(sample, first) if sample is not None else []
     deep = hot_labels(sample, last) if wide else []
     straight = rows.where(prefix_of("label", last).isin(deep)) if deep else None
     rest = rows.where(~prefix_of("label", last).isin(deep)) if deep else rows
-    spread = prefix_of("label", last)
+    spread = prefix_of("label", levels[min(1, len(levels) - 1)])
     found = cut(sorted_by_label(rest, first, wide if last != first else [], spread).mapInArrow(Linker(levels, small, sided), PAIRS_DDL))
     made = found.where("not hot").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     hot = found.where("hot").select(prefix_of("a", last).alias("p"), F.col("b").alias("node"))

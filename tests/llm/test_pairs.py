@@ -271,3 +271,9 @@ def test_near_duplicates_compare_whole_buckets(spark):
     want = {a[0]: sum(likeness(a[2], b[2]) >= 0.6 for b in rows if b is not a) for a in rows}
     assert sum(want.values()) > 1000
     assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.97 * sum(want.values())
+
+
+def test_linker_pairs_small_middle_groups_of_a_large_one():
+    rows = [((5 << 56) | (m << 48) | x, 2 * m + x) for m in range(1, 20) for x in (0, 1)]
+    made = {(a, b) for a, b, hot in linker(rows, HELD_ROWS=5) if not hot}
+    assert made >= {(2 * m, 2 * m + 1) for m in range(1, 20)}

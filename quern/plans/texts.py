@@ -34,6 +34,13 @@ def _sse():
     return F.concat(F.lit("data: "), esc, F.lit("\n\ndata: "), esc2, F.lit('\n\ndata: {"type":"done","latency":'), F.format_string("%.2f", "wall"), F.lit("}\n\n"))
 
 
+def _sse_whole():
+    """The body of a stream that sends the whole answer, ten code points a chunk."""
+    last = F.greatest(F.ceil(F.length("answer") / 10).cast("int") - 1, F.lit(0))
+    chunk = lambda i: F.concat(F.lit("data: "), F.to_json(F.struct(F.lit("chunk").alias("type"), F.substring(F.col("answer"), i * 10 + 1, F.lit(10)).alias("content"))), F.lit("\n\n"))
+    return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), last), chunk), ""), F.lit('data: {"type":"done","latency":'), F.format_string("%.2f", "wall"), F.lit("}\n\n"))
+
+
 def queries() -> dict:
     t = table
     return {
@@ -64,9 +71,11 @@ def queries() -> dict:
         "input_guard": lambda s, d: t(s, d, _EVAL).select("id", F.coalesce(G.input_guard(F.concat("question", F.when(F.col("id") % 5 == 0, "剂量").when(F.col("id") % 7 == 0, "突然昏迷").otherwise(""))), F.lit("pass")).alias("guard"), G.question_ok(F.col("question")).alias("ok")),
         "out_of_scope": lambda s, d: t(s, d, _EVAL).select("id", F.col("question").rlike(T.one_of(L.OUT_OF_SCOPE)).alias("outside")),
         "citation_check": lambda s, d: t(s, d, _EVAL).select("id", G.checked_citations(_clauses_cited(F.left("answer", F.lit(40))), F.coalesce("retrieved_ids", F.array().cast("array<bigint>"))).alias("answer")),
+        "citation_check_whole": lambda s, d: t(s, d, _EVAL).select("id", G.checked_citations(_clauses_cited(F.col("answer")), F.coalesce("retrieved_ids", F.array().cast("array<bigint>"))).alias("answer")),
         "safety_notices": lambda s, d: t(s, d, "sft_samples").where("output is not null").select("sample_id", G.with_notices(F.col("output"), _NOTICE, _URGENT).alias("output")),
         "judge_parse": lambda s, d: t(s, d, _EVAL).where("wall is not null").select("id", F.round(G.judge_score(_judge_text()), 6).alias("score"), G.judge_reason(_judge_text()).alias("reason")),
         "sse_parse": lambda s, d: t(s, d, _EVAL).where("wall is not null and answer is not null").select("id", G.sse_answer(_sse()).alias("answer"), F.round(G.sse_latency(_sse()), 2).alias("latency")),
+        "sse_parse_whole": lambda s, d: t(s, d, _EVAL).where("wall is not null and answer is not null").select("id", G.sse_answer(_sse_whole()).alias("answer"), F.round(G.sse_latency(_sse_whole()), 2).alias("latency")),
         "query_route": lambda s, d: t(s, d, _EVAL).select("id", R.route(F.col("question"), R.names_in(F.col("question"), _NAME), L.HERBS).alias("route"), F.array_join(R.names_in(F.col("question"), _NAME), ",").alias("names")),
         "query_rewrite": lambda s, d: t(s, d, _EVAL).select("id", R.rewritten(F.col("question")).alias("rewritten")),
         "query_expand": lambda s, d: t(s, d, _EVAL).select("id", X.expand(F.col("question"), L.COLLOQUIAL).alias("expanded")),

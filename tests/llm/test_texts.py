@@ -159,3 +159,10 @@ def test_scans(spark):
 def test_empty_scans(spark):
     df = spark.createDataFrame([], "id bigint, t string")
     assert scans.found({"a": (df, "id", "t")}).count() == 0 and scans.repaired(df, "id", "t").count() == 0
+
+
+def test_marks_centred_with_many_blanks():
+    from quern.llm.scans import line_marks
+
+    assert line_marks("甲\n" + " " * 80 + "- 12 -") == [("page_number", 2, None)]
+    assert line_marks("甲\n" + "　" * 70 + "伤寒论 卷三 · 太阳病") == [("header", 2, "伤寒论")] and line_marks("甲\n" + "字" * 70 + "12") == []

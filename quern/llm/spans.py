@@ -20,11 +20,11 @@ _CLASS = pa.schema([("id", pa.int64()), ("node", pa.int64())])
 def shared_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of distinct texts that share at least one run of ``span`` code points, verbatim.
 
-    Method: suffix trees partitioned by prefix.  Suffixes begin at content-defined places, at least
-    one in every run of ``span`` code points; a hash of the first PREFIX code points assigns each to
-    a group, which is one subtree.  Groups too large for a task leave it and are joined in salted
-    parts.  Pairs that meet below a node of depth PREFIX are compared on their whole texts: spans of
-    at least ``span`` code points are the subtree's deep internal nodes, extended to both sides.
+    Method: anchored prefixes, in place of suffix trees.  Suffixes begin at content-defined places,
+    at least one in every run of ``span`` code points; a hash of the first PREFIX code points assigns
+    each to a group.  Groups too large for a task leave it and are joined in salted parts.  All pairs
+    of a group are compared by the hashes of their windows of ``span`` code points, over whole texts;
+    windows that both hold are merged into spans.
 
     Returns (pairs, classes, rows): pairs (a, b, spans_a, spans_b) of nodes with the merged spans as
     flat [start, end, ...] lists, classes (id, node), and the base rows.  Texts shorter than ``span``, null and empty ones

@@ -146,8 +146,6 @@ def is_refusal(question: str, answer: str) -> bool:
             else:
                 keep.append(ch)
         answer = "".join(keep)
-    if len(letters(answer)) > 160:
-        return False
     no = False
     for part in _BREAK.split(answer):
         part = part.strip()
@@ -205,12 +203,13 @@ def defect(question: str | None, answer: str | None) -> str | None:
     """The defect of a pair, or None: empty, refusal, copy, other_language or truncated, the first that holds."""
     if answer is None:
         return "empty"
-    if len(answer) < 64 or not any(map(str.isalnum, answer[:64])):
+    raw = letters(answer)
+    if len(raw) <= 64:  # a filler is far shorter, however it is written
         la = letters(U.normalize("NFKC", answer)).lower()
         if not la or la in FILLERS:
             return "empty"
     q = question or ""
-    if len(answer) <= 400 + 2 * len(q) and _NEGATES.search(answer) and is_refusal(q, answer):
+    if _NEGATES.search(answer) and is_refusal(q, answer):
         return "refusal"
     if len(answer) <= 4 * len(q) + 32 and is_copy(letters(q), letters(answer)):
         return "copy"

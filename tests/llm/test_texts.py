@@ -166,3 +166,11 @@ def test_marks_centred_with_many_blanks():
 
     assert line_marks("甲\n" + " " * 80 + "- 12 -") == [("page_number", 2, None)]
     assert line_marks("甲\n" + "　" * 70 + "伤寒论 卷三 · 太阳病") == [("header", 2, "伤寒论")] and line_marks("甲\n" + "字" * 70 + "12") == []
+
+
+def test_defects_of_any_length():
+    from quern.llm import defects
+
+    filler = min((f for f in defects.FILLERS if f), key=len)
+    assert defects.defect("问", filler + "." * 200) == "empty"
+    assert defects.defect("什么是桂枝汤", "抱歉，我无法回答这个问题。" * 60) == "refusal"

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut, spread  # noqa: F401 - used as common.cut, common.spread
@@ -271,6 +272,15 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def covered(spans: DataFrame) -> DataFrame:
+    """(node, covered): places of each node that its spans cover, from rows (node, spans) with flat
+    [start, end, ...] lists.  Spans are merged in order by a window over (node, start)."""
+    each = spans.where("size(spans) > 0").select("node", F.explode(F.expr("transform(sequence(0, cast(size(spans) / 2 as int) - 1), i -> struct(spans[2*i] as lo, spans[2*i+1] as hi))")).alias("x"))
+    each = each.groupBy("node", F.col("x.lo").alias("lo")).agg(F.max("x.hi").alias("hi"))
+    seen = F.coalesce(F.max("hi").over(W.partitionBy("node").orderBy("lo").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return each.withColumn("seen", seen).groupBy("node").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "seen"))).alias("covered"))
+
+
 def expanded(pairs: DataFrame, classes: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs of ids, smaller first, from pairs (a, b) of classes (id, node)."""
     left = classes.select(F.col("node").alias("a"), F.col("id").alias("i"))

@@ -169,6 +169,27 @@ def row_hash(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return segment_hash(prefix_hash(cp), starts[:-1], starts[1:])
 
 
+def windows(text: str, k: int) -> np.ndarray:
+    """Hashes of the windows of k code points of one text, in order."""
+    return window_hash(prefix_hash(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)), k)
+
+
+def jaccard(one: np.ndarray, two: np.ndarray) -> float:
+    """Likeness of two sorted arrays of distinct hashes."""
+    both = len(one) + len(two) - len(np.unique(np.concatenate([one, two]))) if len(one) and len(two) else 0
+    return both / max(1, len(one) + len(two) - both)
+
+
+def common_windows(mine: np.ndarray, other: np.ndarray, k: int) -> list[int]:
+    """Merged [start, end, ...] of the windows of k code points, given in order, that the other text holds."""
+    at = np.flatnonzero(np.isin(mine, other))
+    if not len(at):
+        return []
+    gap = np.flatnonzero(at[1:] > at[:-1] + k)
+    start, end = at[np.append(0, gap + 1)], at[np.append(gap, len(at) - 1)] + k
+    return np.stack([start, end], axis=1).ravel().tolist()
+
+
 def shingle_sets(text: str, k: int = 5) -> frozenset:
     t = "".join(filter(str.isalnum, text or ""))
     return frozenset(t[i : i + k] for i in range(len(t) - k + 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -12,15 +13,20 @@ from . import kernels as K
 
 #: Letters of a suffix that a group compares.
 SPAN = 16
-#: Neighbouring suffixes of which one is kept; records sharing SPAN + SKIP - 1 letters in a row share a kept one.
-SKIP = 16
+#: (most letters of a record, neighbouring suffixes of which one is kept): records sharing SPAN + n - 1
+#: letters in a row share a kept one.  The shorter a record, the shorter its shared runs may be.
+SKIPS = ((130, 2), (200, 4), (400, 8), (None, 16))
+#: A pair is met if it shares more than this part of the kept suffixes of either record.
+LEAST_SHARED = 0.10
 #: Letters of a shingle, and 64-bit words of the bitmap that marks a record's shingles.
 SHINGLE, WORDS = 5, 16
+#: What a group's pairs count as where they were not counted, and parts into which a large one is dealt at most.
+UNCOUNTED, MOST_PARTS = 1 << 62, 64
 
 _SUFFIX = pa.schema([("label", pa.int64()), ("node", pa.int64())])
 _MARKS = [f"m{i}" for i in range(WORDS)]
-_CLASS = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("shingles", pa.int64()), *((m, pa.int64()) for m in _MARKS)])
-_CROSSING = pa.schema([("label", pa.int64()), ("node", pa.int64()), ("parts", pa.int32())])
+_CLASS = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("places", pa.int64()), ("shingles", pa.int64()), ("ones", pa.int64()), *((m, pa.int64()) for m in _MARKS)])
+_CROSSING = pa.schema([("label", pa.int64()), ("node", pa.int64()), ("made", pa.int64())])
 
 
 def _nodes(batch: pa.RecordBatch, least: int):
@@ -45,7 +51,7 @@ def _nodes(batch: pa.RecordBatch, least: int):
 def _marks(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of each row, repeats counted, and the bitmap of their hashes.
 
-    Each bit in which two bitmaps differ takes a shingle that only one of the rows has."""
+    The distinct shingles of a row are at most the former and at least the bitmap's ones.  Each bit in which two bitmaps differ takes a shingle that only one of the rows has."""
     h = K.window_hash(K.prefix_hash(cp), SHINGLE)
     row = K.rows_of(starts)[: len(h)]
     use = K.inside(starts, SHINGLE, len(h))
@@ -58,20 +64,43 @@ def _marks(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(row, minlength=n), np.packbits(seen).view(np.int64).reshape(n, WORDS)
 
 
+def _suffixes(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the first SPAN letters, row) of the kept suffixes; a hash repeated in a row is kept once."""
+    n, low = np.diff(starts), 0
+    labels, rows = [], []
+    for most, skip in SKIPS:
+        mine = (n > low) & (n <= most) if most else n > low
+        low = most
+        if not mine.any():
+            continue
+        part, at = K.only(cp, starts, np.repeat(mine, n))
+        h = K.window_hash(K.prefix_hash(part), SPAN)
+        places = K.anchors(h, at, SPAN, skip)
+        labels.append(h[places])
+        rows.append(K.rows_of(at)[places])
+    if not labels:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    label, row = np.concatenate(labels), np.concatenate(rows)
+    order = np.lexsort((label, row))
+    label, row = label[order], row[order]
+    first = np.ones(len(row), dtype=bool)
+    first[1:] = (row[1:] != row[:-1]) | (label[1:] != label[:-1])
+    return label[first], row[first]
+
+
 def _crossing(batches):
-    """Of rows sorted by label, those of groups with both sides, and the parts into which the group's
-    pairs are dealt; a group larger than a task holds passes whole."""
+    """Of rows sorted by label, those of groups with both sides, and the cross-split pairs of the
+    group; a group larger than a task holds passes whole, uncounted."""
 
     def whole(lab, node):
-        return K.table(_CROSSING, lab, node, np.full(len(lab), C.SALT, dtype=np.int32))
+        return K.table(_CROSSING, lab, node, np.full(len(lab), UNCOUNTED))
 
     def closed(lab, node):
         _, size, run = C._cuts(lab)
         one = np.bincount(run, weights=node & 1, minlength=len(size)).astype(np.int64)
         made = one * (size - one)
         keep = (made > 0)[run]
-        parts = np.where(made > C.HELD_PAIRS, C.SALT, 1).astype(np.int32)[run]
-        return K.table(_CROSSING, lab[keep], node[keep], parts[keep])
+        return K.table(_CROSSING, lab[keep], node[keep], made[run][keep])
 
     lab = node = np.zeros(0, dtype=np.int64)
     large = None
@@ -95,21 +124,27 @@ def _crossing(batches):
         yield closed(lab, node)
 
 
-def _met(rows: DataFrame, sample: DataFrame, marks: DataFrame, likeness: float) -> DataFrame:
-    """(a, b): every pair of nodes of unlike sides that share a group and whose bitmaps allow the likeness.
+def _met(rows: DataFrame, sample: DataFrame, nodes: DataFrame, likeness: float) -> DataFrame:
+    """(a, b): the pairs of nodes of unlike sides that share more than LEAST_SHARED of their suffixes.
 
-    Groups seen to be hot in the sample are not gathered in a task, only dealt to parts."""
+    All suffixes are put in one order, those of the smallest groups first.  If a record leaves out
+    that part of its suffixes that come last in it, two records sharing more of them still meet in
+    one that both kept; what half the corpus shares makes no pairs, unless a record holds little
+    else.  Groups seen to be hot in the sample are not gathered in a task; large ones are dealt to parts."""
     hot = C.hot_labels(sample, 64)
     rest = rows.where(~F.col("label").isin(hot)) if hot else rows
-    kept = C.sorted_by_label(rest, 64).mapInArrow(_crossing, "label long, node long, parts int")
+    crossing = C.sorted_by_label(rest, 64).mapInArrow(_crossing, "label long, node long, made long")
     if hot:
-        kept = kept.unionByName(rows.where(F.col("label").isin(hot)).distinct().withColumn("parts", F.lit(C.SALT)))
-    full = C.cut(kept).join(marks, "node")
-    one = full.where("(node & 1) = 1").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
-    two = full.where("(node & 1) = 0").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    one, two = (x.select("label", "part", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "shingles", *_MARKS)]) for x, s in ((one, 1), (two, 2)))
-    apart = " + ".join(f"bit_count({m}_1 ^ {m}_2)" for m in _MARKS)
-    on = one.join(two, ["label", "part"]).where(f"{apart} <= (shingles_1 + shingles_2) * {(1 - likeness) / (1 + likeness)}D + 1e-6D")
+        crossing = crossing.unionByName(rows.where(F.col("label").isin(hot)).distinct().withColumn("made", F.lit(UNCOUNTED)))
+    w = W.partitionBy("node")
+    ranked = crossing.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("rank", F.row_number().over(w.orderBy("made", "label")))
+    kept = ranked.join(nodes.select("node", "places", "shingles", "ones"), "node").where(f"places - n + rank <= greatest(1, ceil(places * {1 - LEAST_SHARED}D))")
+    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("made") / C.HELD_PAIRS)).cast("int")
+    kept = C.cut(kept.select("label", "node", "shingles", "ones", parts.alias("parts")))
+    one = kept.where("(node & 1) = 1").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    two = kept.where("(node & 1) = 0").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    one, two = (x.select("label", "part", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "shingles", "ones")]) for x, s in ((one, 1), (two, 2)))
+    on = one.join(two, ["label", "part"]).where(f"shingles_1 >= ones_2 * {likeness}D and shingles_2 >= ones_1 * {likeness}D")
     return on.select(F.least("node_1", "node_2").alias("a"), F.greatest("node_1", "node_2").alias("b")).distinct()
 
 
@@ -121,17 +156,17 @@ def cross_split_pairs(
     head and body together have at least the given likeness, and the members of the classes.
 
     Method: the letters of all records form one text, whose suffixes are partitioned by a hash of
-    their first SPAN letters and sorted within (a suffix array in parts).  Only suffixes at
-    content-defined places are kept.  Suffixes of unlike splits that meet in a group share a span;
-    all such pairs of every group are compared, however many they are (large groups in salted
-    parts), by bitmaps of the records' shingles: two records differ in at least as many shingles as
-    their bitmaps in bits, so a pair that is too far apart there cannot have the likeness.  The
-    others are verified on their texts, where shared spans are merged into the share of the
-    evaluation record that they cover.  Records without a common place are found through others:
-    all cross-split pairs of records that verified pairs connect are verified too.
-
-    Returns (pairs, classes): pairs (a, b, likeness, coverage) with nodes a, b, and classes
-    (id, node).  Null texts count as empty; records with a null id or another split, and bodies of
+    their first SPAN letters and sorted within, so that suffixes with equal prefixes are adjacent (a
+    suffix array in parts).  Suffixes at content-defined places are kept, the more of them the
+    shorter the record.  Suffixes of unlike splits that meet share a span; each record is paired
+    through its rarest spans (see _met), which meets every pair that shares more than LEAST_SHARED
+    of its suffixes.  Pairs are then ruled out by bounds of their numbers of distinct shingles and by bitmaps
+    of these, both of which exclude only pairs that cannot be alike, and the rest is verified on
+    whole texts, where the spans of the evaluation record are read.
+
+    Returns (pairs, classes): pairs (a, b, likeness, letters, spans) with nodes a, b, the letters of
+    the evaluation record and the spans of it that the other one holds, as a flat [start, end, ...]
+    list; and classes (id, node).  Null texts count as empty; records with a null id or another split, and bodies of
     fewer than ``least`` letters, take no part; equal records form one class, so their number
     costs nothing before the result; an empty table gives no rows; other columns are ignored.
     """
@@ -142,67 +177,52 @@ def cross_split_pairs(
     def classes(b: pa.RecordBatch):
         cp, starts, node, ok = _nodes(b, least)
         n, marks = _marks(cp, starts)
-        yield K.table(_CLASS, b.column("id").to_numpy()[ok], node[ok], n[ok], *marks[ok].T)
+        ones = np.bitwise_count(marks.view(np.uint64)).sum(axis=1).astype(np.int64)
+        _, row = _suffixes(cp, starts)
+        places = np.bincount(row, minlength=len(node))
+        yield K.table(_CLASS, b.column("id").to_numpy()[ok], node[ok], places[ok], n[ok], ones[ok], *marks[ok].T)
 
     def suffixes(b: pa.RecordBatch):
         cp, starts, node, ok = _nodes(b, least)
         _, once = np.unique(node, return_index=True)
         alone = np.zeros(len(node), dtype=bool)
         alone[once] = True
-        pre = K.prefix_hash(cp)
-        hashes = K.window_hash(pre, SPAN)
-        at = K.anchors(hashes, starts, SPAN, SKIP)
-        row = K.rows_of(starts)[at]
+        label, row = _suffixes(cp, starts)
         keep = (ok & alone)[row]
-        at, row = at[keep], row[keep]
-        yield K.table(_SUFFIX, K.signed(hashes[at]), node[row])
+        yield K.table(_SUFFIX, K.signed(label[keep]), node[row[keep]])
 
     members = C.cut(C.map_rows(base, ["head", "body"], classes, _CLASS))
     rows, seen = (C.map_rows(x, ["head", "body"], suffixes, _SUFFIX) for x in (base, base.sample(C.SAMPLED, 7)))
-    marks = members.groupBy("node").agg(*[F.max(c).alias(c) for c in ("shingles", *_MARKS)])
-    met = C.cut(_met(rows, seen, marks, likeness))
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64()), ("coverage", pa.float64())])
+    nodes = members.groupBy("node").agg(*[F.max(c).alias(c) for c in ("places", "shingles", "ones", *_MARKS)])
+    met = _met(rows, seen, nodes, likeness)
+    marks = ["node", "shingles", *_MARKS]
+    for at, s in (("a", "1"), ("b", "2")):
+        met = met.join(nodes.select(F.col("node").alias(at), *[F.col(c).alias(f"{c}_{s}") for c in marks[1:]]), at)
+    apart = " + ".join(f"bit_count({m}_1 ^ {m}_2)" for m in _MARKS)
+    met = C.cut(met.where(f"{apart} <= (shingles_1 + shingles_2) * {(1 - likeness) / (1 + likeness)}D + 1e-6D").select("a", "b"))
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64()), ("letters", pa.int64()), ("spans", pa.list_(pa.int64()))])
 
     def verify(b: pa.RecordBatch):
         d = {c: b.column(c).to_pylist() for c in b.schema.names}
         rows = []
-        kept: dict[int, tuple[str, frozenset]] = {}  # letters and shingles of the batch's distinct records
+        kept: dict[int, tuple[str, np.ndarray]] = {}  # letters and distinct shingles of the batch's distinct records
 
-        def shingled(node: int, head: str | None, body: str | None) -> tuple[str, frozenset]:
+        def shingled(node: int, head: str | None, body: str | None) -> tuple[str, np.ndarray]:
             if node not in kept:
                 t = "".join(filter(str.isalnum, (head or "") + (body or "")))
-                kept[node] = t, K.shingle_sets(t)
+                kept[node] = t, np.unique(K.windows(t, SHINGLE))
             return kept[node]
 
         for i, (x, y) in enumerate(zip(d["a"], d["b"])):
             (tx, one), (ty, two) = (shingled(v, d[f"head_{s}"][i], d[f"body_{s}"][i]) for v, s in ((x, "a"), (y, "b")))
-            if min(len(one), len(two)) < likeness * max(len(one), len(two)) - 1e-9:
-                continue
-            both = len(one & two)
-            like = both / max(1, len(one) + len(two) - both)
-            if like >= likeness:
-                rows.append((x, y, like, covered(*((tx, ty) if x & 1 else (ty, tx)))))
-        yield K.table(out, *(list(c) for c in zip(*rows))) if rows else K.table(out, [], [], [], [])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        full = C.with_texts(pairs, members, base.select("id", "head", "body"), ["head", "body"])
-        return C.cut(C.map_rows(full, ["head_a", "body_a", "head_b", "body_b"], verify, out))
-
-    pairs = verified(met)
-    near = C.components(pairs).select(F.col("root").alias("p"), "node")
-    rest = C.cut(C.hot_pairs(near, sided=True).select("a", "b").join(met, ["a", "b"], "left_anti"))
-    return pairs if rest.isEmpty() else pairs.unionByName(verified(rest)), members.select("id", "node")
-
+            like = K.jaccard(one, two)
+            if like >= likeness - 1e-12:
+                mine, other = (tx, ty) if x & 1 else (ty, tx)
+                rows.append((x, y, like, len(mine), K.common_windows(K.windows(mine, SPAN), K.windows(other, SPAN), SPAN)))
+        yield K.table(out, *(list(c) for c in zip(*rows))) if rows else K.table(out, [], [], [], [], [])
 
-def covered(text: str, other: str, span: int = SPAN) -> float:
-    """Share of text that lies in common spans of at least ``span`` letters, merged."""
-    there = {other[i : i + span] for i in range(len(other) - span + 1)}
-    done = total = 0
-    for i in range(len(text) - span + 1):
-        if text[i : i + span] in there:
-            total += i + span - max(i, done)
-            done = i + span
-    return total / max(1, len(text))
+    full = C.with_texts(met, members, base.select("id", "head", "body"), ["head", "body"])
+    return C.map_rows(full, ["head_a", "body_a", "head_b", "body_b"], verify, out), members.select("id", "node")
 
 
 def found(df: DataFrame) -> DataFrame:
@@ -213,13 +233,17 @@ def found(df: DataFrame) -> DataFrame:
 
 def records(df: DataFrame, id_col: str = "sample_id", split: str = "split", source: str = "source") -> DataFrame:
     """(id, split, source, copies, coverage): every evaluation record with the number of training records
-    it overlaps and the largest share of it that one of them covers (null where none does).
+    it overlaps and the share of its letters that these cover, the spans of all of them merged (null where
+    none does).
 
-    Counts are made per class, so a class of many copies is never expanded."""
+    Pairs are those of distinct texts; counts are made per class, so a class of many copies is never expanded."""
     pairs, members = cross_split_pairs(df, id_col=id_col, split=split)
+    pairs = C.cut(pairs)
     size = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
-    nodes = pairs.select(F.when(F.expr("a & 1 = 1"), F.col("a")).otherwise(F.col("b")).alias("node"), F.when(F.expr("a & 1 = 1"), F.col("b")).otherwise(F.col("a")).alias("other"), "coverage")
-    hits = nodes.join(size.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("size").alias("copies"), F.max("coverage").alias("coverage"))
+    mine = F.expr("a & 1 = 1")
+    nodes = pairs.select(F.when(mine, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(mine, F.col("b")).otherwise(F.col("a")).alias("other"), "letters", "spans")
+    copies = nodes.join(size.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("size").alias("copies"), F.max("letters").alias("letters"))
+    hits = copies.join(C.covered(nodes), "node", "left").withColumn("coverage", F.coalesce(F.col("covered"), F.lit(0)) / F.greatest("letters", F.lit(1)))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{split}`").alias("split"), F.col(f"`{source}`").alias("source")).where(F.col("split").isin("val", "test"))
     return rows.join(members.join(hits, "node").select("id", "copies", "coverage"), "id", "left")
 

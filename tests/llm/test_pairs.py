@@ -277,3 +277,51 @@ def test_linker_pairs_small_middle_groups_of_a_large_one():
     rows = [((5 << 56) | (m << 48) | x, 2 * m + x) for m in range(1, 20) for x in (0, 1)]
     made = {(a, b) for a, b, hot in linker(rows, HELD_ROWS=5) if not hot}
     assert made >= {(2 * m, 2 * m + 1) for m in range(1, 20)}
+
+
+def cross_split(rows):
+    return {tuple(sorted((a[0], b[0]))) for a in rows if a[3] != "train" for b in rows if b[3] == "train" and likeness((a[1] or "") + a[2], (b[1] or "") + b[2]) >= 0.7}
+
+
+@pytest.mark.parametrize("run", [29, 34, 40])
+def test_overlap_of_form_letters(spark, run):
+    """Letters identical but for one letter after every run: each run stands in all of them."""
+    rng = random.Random(run)
+    runs = [text(rng, run) for _ in range(400 // run)]
+    rows = [(i, "", "".join(r + text(rng, 1) for r in runs), "val" if i < 30 else "train", "s", "x", "y", "z") for i in range(150)]
+    got = {tuple(r) for r in overlap.found(spark.createDataFrame(rows, SFT)).collect()}
+    want = cross_split(rows)
+    assert len(want) == 3600 and got == want
+
+
+def test_overlap_of_short_records(spark):
+    """Isolated pairs of 62 letters with one or two edits: few and short shared runs."""
+    rng = random.Random(23)
+    rows, want = [], set()
+    for i in range(400):
+        one = text(rng, 62)
+        two = edited(rng, one, 1 + i % 2)
+        rows += [(2 * i, "", one, "test", "s", "x", "y", "z"), (2 * i + 1, None, two, "train", "s", "x", "y", "z")]
+        if likeness(one, two) >= 0.7 and len(two) >= 60:
+            want.add((2 * i, 2 * i + 1))
+    got = {tuple(r) for r in overlap.found(spark.createDataFrame(rows, SFT)).collect()}
+    assert len(want) > 350 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_overlap_behind_a_phrase_of_all_records(spark):
+    """A long opening that every record has does not hide what pairs share besides."""
+    rng = random.Random(29)
+    opening, rows = text(rng, 120), []
+    for i in range(120):
+        own = text(rng, 120)
+        rows += [(2 * i, opening, own, "val", "s", "x", "y", "z"), (2 * i + 1, opening, edited(rng, own, 3), "train", "s", "x", "y", "z")]
+    got = {tuple(r) for r in overlap.found(spark.createDataFrame(rows, SFT)).collect()}
+    assert got == cross_split(rows) and len(got) >= 120
+
+
+def test_overlap_merges_spans_of_all_partners(spark):
+    rng = random.Random(31)
+    one, two, own = text(rng, 300), text(rng, 300), text(rng, 60)
+    rows = [(1, "", one + two + own, "val", "s", "x", "y", "z"), (2, "", one + two[:250], "train", "s", "x", "y", "z"), (3, "", one[50:] + two, "train", "s", "x", "y", "z"), (4, "", text(rng, 90), "test", "s", "x", "y", "z")]
+    got = {r["id"]: r for r in overlap.records(spark.createDataFrame(rows, SFT)).collect()}
+    assert got[1]["copies"] == 2 and abs(got[1]["coverage"] - 600 / 660) < 1e-9 and got[4]["coverage"] is None

@@ -82,6 +82,41 @@ def merged_batches(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Ite
             yield lab, node
 
 
+def runs(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables of whole runs of rows with an equal first column, by which the rows are sorted.  A run of more
+    than HELD_ROWS rows comes in parts and marked True."""
+    held, n, large = [], 0, None
+
+    def parts(last: bool):
+        nonlocal held, n, large
+        t = pa.Table.from_batches(held).combine_chunks()
+        key = t.column(0).to_numpy()
+        at = 0
+        if large is not None:
+            at = int(np.searchsorted(key, large, "right"))
+            if at:
+                yield t.slice(0, at), True
+            if at < len(key):
+                large = None
+        k = len(key) if last else max(at, int(np.searchsorted(key, key[-1], "left")))
+        if k > at:
+            yield t.slice(at, k - at), False
+        if k < len(key) and len(key) - k > HELD_ROWS:
+            yield t.slice(k), True
+            large, k = key[-1], len(key)
+        t = t.slice(k)
+        held, n = t.to_batches() if t.num_rows else [], 0
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= rows:
+            yield from parts(False)
+    if held:
+        yield from parts(True)
+
+
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_())])
 PAIRS_DDL = "a long, b long, hot boolean"
 
@@ -237,6 +272,15 @@ def hot_pairs(hot: DataFrame, sided: bool) -> DataFrame:
     return on.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def group_pairs(rows: DataFrame, group: str, size: str) -> DataFrame:
+    """(a, b): all pairs of distinct nodes of one group, from distinct rows (group, node, size) with the
+    group's number of nodes; a large group is joined in parts."""
+    parts = F.least(F.lit(64), F.ceil(F.col(size) / 2000)).cast("int")
+    left = rows.select(F.col(group).alias("p"), F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("s"))
+    right = rows.select(F.col(group).alias("p"), F.col("node").alias("b"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("s"))
+    return left.join(right, ["p", "s"]).where("a < b").select("a", "b").distinct()
+
+
 def with_texts(pairs: DataFrame, classes: DataFrame, texts: DataFrame, fields: list[str]) -> DataFrame:
     """pairs (a, b, ...) of nodes with the texts of one member of each; classes (id, node); texts (id, fields).
 
@@ -273,10 +317,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def covered(spans: DataFrame) -> DataFrame:
-    """(node, covered): places of each node that its spans cover, from rows (node, spans) with flat
-    [start, end, ...] lists.  Spans are merged in order by a window over (node, start)."""
-    each = spans.where("size(spans) > 0").select("node", F.explode(F.expr("transform(sequence(0, cast(size(spans) / 2 as int) - 1), i -> struct(spans[2*i] as lo, spans[2*i+1] as hi))")).alias("x"))
-    each = each.groupBy("node", F.col("x.lo").alias("lo")).agg(F.max("x.hi").alias("hi"))
+    """(node, covered): places of each node that its spans (node, lo, hi) cover, merged in order by a
+    window over (node, lo)."""
+    each = spans.groupBy("node", "lo").agg(F.max("hi").alias("hi"))
     seen = F.coalesce(F.max("hi").over(W.partitionBy("node").orderBy("lo").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return each.withColumn("seen", seen).groupBy("node").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "seen"))).alias("covered"))
 
@@ -291,15 +334,17 @@ def expanded(pairs: DataFrame, classes: DataFrame, a: str, b: str) -> DataFrame:
 
 def map_rows(df: DataFrame, columns: list[str], f: Callable, schema: pa.Schema) -> DataFrame:
     """Apply f(batch) -> record batches to slices of bounded size."""
-    ddl = ", ".join(f"`{x.name}` {_DDL[x.type]}" for x in schema)
-
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 for part in K.slices(batch, columns):
                     yield from f(part)
 
-    return df.mapInArrow(run, ddl)
+    return df.mapInArrow(run, ddl(schema))
+
+
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"`{x.name}` {_DDL[x.type]}" for x in schema)
 
 
 _DDL = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean", pa.float64(): "double", pa.list_(pa.int64()): "array<long>", pa.list_(pa.string()): "array<string>", pa.binary(): "binary"}

@@ -54,7 +54,7 @@ def slices(batch: pa.RecordBatch, columns: list[str]):
     sizes = np.zeros(batch.num_rows, dtype=np.int64)
     for c in columns:
         col = batch.column(c)
-        off = np.frombuffer(col.buffers()[1], dtype=np.int32 if pa.types.is_string(col.type) else np.int64)
+        off = np.frombuffer(col.buffers()[1], dtype=np.int32 if pa.types.is_string(col.type) or pa.types.is_binary(col.type) else np.int64)
         sizes += np.diff(off[col.offset : col.offset + len(col) + 1].astype(np.int64))
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):

@@ -43,7 +43,7 @@ def water_fill(targets: list[tuple[str, float, int]], tokens: dict[str, int], to
     return out
 
 
-def mixed(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", total: float | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def mixed(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", total: float | None = None, seed: int = 42, of_all: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(selection, shares): selection (id, source, tokens, repeats); shares per source.
 
     Method: capped water-filling over the sources' tokens gives each a number of tokens; whole
@@ -53,7 +53,9 @@ def mixed(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text: str =
     come one sum per target.  Records with no tokens or a source without target are left out;
     a null source has no target; a null id is kept as null; repeated rows are records each; targets
     that are null or not positive, and sources without tokens, get nothing (their weight goes to the
-    others); an empty table gives no rows; other columns are ignored.
+    others); an empty table gives no rows; other columns are ignored.  ``of_all`` states the total as a
+    multiple of the tokens that the sources with a target hold; a total beyond what the scarcest
+    source can share in clamps that source and gives the rest of its weight to the others.
     """
     rows = C.cut(token_counts(df, id_col, text, (source,)).where("tokens > 0").withColumnRenamed(source, "source_").select("id", F.col("source_").alias("source"), "tokens"))
     goal = targets.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("w"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("r")).limit(MOST_TARGETS + 1)
@@ -61,7 +63,7 @@ def mixed(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text: str =
     wanted = [(r["source"], float(r["w"]), int(r["r"])) for r in goal.collect()]
     if len(wanted) > MOST_TARGETS:
         raise ValueError("too many targets")
-    give = water_fill(wanted, have, total)
+    give = water_fill(wanted, have, total if of_all is None else of_all * sum(have.values()))
     plan = [(s, w, r, have.get(s, 0), give.get(s, 0.0), int((give.get(s, 0.0) + 1e-6) // have[s]) if have.get(s) else 0) for s, w, r in wanted]
     spark = df.sparkSession
     plan_df = spark.createDataFrame(plan or [("", 0.0, 0, 0, 0.0, 0)], "source string, target_share double, max_repeats int, source_tokens long, goal double, whole long").where("source_tokens > 0 or goal = 0")

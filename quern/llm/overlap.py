@@ -243,7 +243,8 @@ def records(df: DataFrame, id_col: str = "sample_id", split: str = "split", sour
     mine = F.expr("a & 1 = 1")
     nodes = pairs.select(F.when(mine, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(mine, F.col("b")).otherwise(F.col("a")).alias("other"), "letters", "spans")
     copies = nodes.join(size.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("size").alias("copies"), F.max("letters").alias("letters"))
-    hits = copies.join(C.covered(nodes), "node", "left").withColumn("coverage", F.coalesce(F.col("covered"), F.lit(0)) / F.greatest("letters", F.lit(1)))
+    spans = nodes.where("size(spans) > 0").select("node", F.explode(F.expr("transform(sequence(0, cast(size(spans) / 2 as int) - 1), i -> struct(spans[2*i] as lo, spans[2*i+1] as hi))")).alias("x"))
+    hits = copies.join(C.covered(spans.select("node", "x.lo", "x.hi")), "node", "left").withColumn("coverage", F.coalesce(F.col("covered"), F.lit(0)) / F.greatest("letters", F.lit(1)))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{split}`").alias("split"), F.col(f"`{source}`").alias("source")).where(F.col("split").isin("val", "test"))
     return rows.join(members.join(hits, "node").select("id", "copies", "coverage"), "id", "left")
 

@@ -49,6 +49,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_fill": lambda s, d: packing.fill_report(_t(s, d, "documents"), _t(s, d, "container_sizes")),
         "p9_selection": lambda s, d: mixing.mixed(_t(s, d, "documents"), _t(s, d, "mix_targets"))[0],
         "p9_shares": lambda s, d: mixing.mixed(_t(s, d, "documents"), _t(s, d, "mix_targets"))[1],
+        "p9_whole_selection": lambda s, d: mixing.mixed(_t(s, d, "documents"), _t(s, d, "mix_targets"), of_all=1.0)[0],
+        "p9_whole_shares": lambda s, d: mixing.mixed(_t(s, d, "documents"), _t(s, d, "mix_targets"), of_all=1.0)[1],
         "p10_found": lambda s, d: spans.found(_t(s, d, "documents")),
         "p10_spans": lambda s, d: spans.passages(_t(s, d, "documents")),
         "p10_coverage": lambda s, d: spans.coverage(_t(s, d, "documents")),

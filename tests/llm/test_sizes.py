@@ -67,3 +67,17 @@ def test_mixed(spark):
     again = mixing.mixed(df, t)[0].collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert mixing.mixed(df.limit(0), t)[0].count() == 0 and mixing.mixed(df, t.limit(0))[1].count() == 0
+
+
+def test_mixed_with_a_binding_total(spark):
+    """As many tokens as all sources hold: the small source is clamped, its weight goes to the others."""
+    rng = np.random.default_rng(2)
+    rows = [(i, "字药" * int(rng.integers(1, 40)), "a" if i % 10 == 0 else "bc"[i % 2], "x", "y") for i in range(1000)]
+    t = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 3), ("c", 0.2, 3)], "source string, target_share double, max_repeats int")
+    sel, shares = mixing.mixed(spark.createDataFrame(rows, DOCS), t, of_all=1.0)
+    s = {r["source"]: r for r in shares.collect()}
+    total = sum(r["source_tokens"] for r in s.values())
+    assert s["a"]["tokens"] == 2 * s["a"]["source_tokens"] and {r["repeats"] for r in sel.where("source = 'a'").collect()} == {2}
+    rest = total - s["a"]["tokens"]
+    assert abs(s["b"]["tokens"] - rest * 0.6) < 60 and abs(s["c"]["tokens"] - rest * 0.4) < 60
+    assert s["a"]["actual_share"] == pytest.approx(s["a"]["tokens"] / sum(r["tokens"] for r in s.values()), abs=1e-5)

@@ -174,3 +174,24 @@ def test_defects_of_any_length():
     filler = min((f for f in defects.FILLERS if f), key=len)
     assert defects.defect("问", filler + "." * 200) == "empty"
     assert defects.defect("什么是桂枝汤", "抱歉，我无法回答这个问题。" * 60) == "refusal"
+
+
+def test_other_shapes_of_marks():
+    kinds = lambda t: [k for k, _, _ in scans.line_marks(t)]
+    assert kinds("Chapter 3 | Fever") == ["header"] and kinds("The Pulse, Vol. IV: Fevers") == ["header"]
+    assert kinds("xii") == kinds("十二") == kinds("— iv —") == ["page_number"]
+    assert kinds("civic") == kinds("i") == kinds("第三讲") == kinds("18 味药") == []
+
+
+def test_glyphs_are_learned_from_the_corpus(spark):
+    """A pair that no table holds: the misread letter stands only where another one usually does."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("天地玄黄宇宙洪荒日月盈昃辰宿列张") for _ in range(n))
+    places = [(word(4), word(4)) for _ in range(12)]
+    rows = [(i, f"{word(5)}，{places[i % 12][0]}鑫{places[i % 12][1]}。", "z") for i in range(240)]
+    rows += [(1000 + i, f"{word(5)}，{places[i % 12][0]}淼{places[i % 12][1]}。", "z") for i in range(12)]
+    df = spark.createDataFrame(rows, "id bigint, t string, noise string")
+    base = scans._base([(df, "id", "t")])
+    assert scans.learned(base) == ("鑫淼",) and scans.learned(base.limit(0)) == ()
+    got = {(r["row_key"], r["noise"]) for r in scans.found({"a": (df, "id", "t")}).collect()}
+    assert got == {(1000 + i, "misread") for i in range(12)}

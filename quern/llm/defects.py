@@ -14,6 +14,8 @@ from . import kernels as K
 
 # Answers that hold nothing, as letters only and in small letters.
 FILLERS = frozenset("答 回答 答案 答复 解答 回复 略 无 空 空白 待补充 待补 待定 待填 待续 暂无 没有 同上 见上 未填 无答案 暂缺 na none null nil nan tbd todo empty blank answer a response noanswer undefined keine aucun なし 未定".split())
+#: Letters of the longest filler; compatibility forms only make it longer.
+MOST_FILLER = max(map(len, FILLERS))
 #: Words that may stand before a question that is only repeated.
 _PREFACE = re.compile(r"^(?:(?:问题|您问的是|你问的是|您来信说|来信说|您的问题是|问|题目|原题|关于|question|q|frage)+)", re.I)
 
@@ -43,17 +45,41 @@ _ASKS = {
     "de": re.compile(r"德文|德语|\bin german\b|auf deutsch|en allemand|ドイツ語", re.I),
     "ja": re.compile(r"日文|日语|\bin japanese\b|auf japanisch|en japonais|日本語", re.I),
     "zh": re.compile(r"中文|汉语|\bin chinese\b|auf chinesisch|en chinois|中国語", re.I),
+    "es": re.compile(r"西班牙文|西班牙语|西文|\bin spanish\b|auf spanisch|en espagnol|スペイン語", re.I),
+    "it": re.compile(r"意大利文|意大利语|\bin italian\b|auf italienisch|en italien|イタリア語", re.I),
+    "pt": re.compile(r"葡萄牙文|葡萄牙语|葡语|\bin portuguese\b|auf portugiesisch|en portugais|ポルトガル語", re.I),
+    "ru": re.compile(r"俄文|俄语|\bin russian\b|auf russisch|en russe|ロシア語", re.I),
+    "ko": re.compile(r"韩文|韩语|朝鲜语|\bin korean\b|auf koreanisch|en coréen|韓国語", re.I),
+    "ar": re.compile(r"阿拉伯文|阿拉伯语|\bin arabic\b|auf arabisch|en arabe|アラビア語", re.I),
+    "el": re.compile(r"希腊文|希腊语|\bin greek\b|auf griechisch|en grec|ギリシャ語", re.I),
+    "he": re.compile(r"希伯来文|希伯来语|\bin hebrew\b|auf hebräisch|en hébreu|ヘブライ語", re.I),
+    "th": re.compile(r"泰文|泰语|\bin thai\b|auf thai|en thaï|タイ語", re.I),
+    "hi": re.compile(r"印地文|印地语|\bin hindi\b|auf hindi|en hindi|ヒンディー語", re.I),
 }
 _STOP = {
     "en": frozenset("the and of to in is was with for how does what why on that it as are his her which should when by a an only than".split()),
     "fr": frozenset("le la les et des du un une dans avec est pour que qui sur au aux après entre puis on plus il elle pas".split()),
     "de": frozenset("der die das und ein eine mit nach von zu im ist man bei nimmt den dem nicht waren wenn auf für sich als".split()),
+    "es": frozenset("el los las y una por con para del es se lo como más pero sus al está son muy sin sobre también".split()),
+    "it": frozenset("il lo gli e di che è per con una della dei nel alla sono non si come più anche questo".split()),
+    "pt": frozenset("o os as e uma do da dos das em no na por com para não é se mais como ao são também".split()),
 }
 _HAN, _KANA, _ROMAN, _LETTERS = re.compile("[一-鿿]"), re.compile("[぀-ヿ]"), re.compile("[A-Za-zÀ-ɏ]"), re.compile(r"[A-Za-zÀ-ɏ]+")
+_OTHERS = {"el": "Ͱ-Ͽ", "ru": "Ѐ-ӿ", "he": "֐-׿", "ar": "؀-ۿ", "hi": "ऀ-ॿ", "th": "฀-๿", "ko": "가-힣"}
+_ANY_OTHER = re.compile(f"[{''.join(_OTHERS.values())}]")
+_OTHERS = {k: re.compile(f"[{v}]") for k, v in _OTHERS.items()}
 
 _PAIRS = {")": "(", "）": "（", "]": "[", "】": "【", "”": "“", "’": "‘", "」": "「", "』": "『", "》": "《", "〉": "〈", "}": "{"}
 _OPEN = frozenset(_PAIRS.values()) - {"‘"}
-_CLOSERS = "”’」』）)】]》〉}\"'"
+# Elements that need no end tag.
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr p li dt dd tr td th option".split())
+_TOKEN = re.compile(
+    r"(?P<fence>^[ \t]*(?:`{3,}|~{3,})|```)|(?P<comment><!--|-->)|</(?P<end>[A-Za-z][\w-]*)\s*>|<(?P<tag>[A-Za-z][\w-]*)(?:\s[^<>]*?)?(?P<self>/?)>|(?P<cut><[A-Za-z/][^<>]*$)"
+    r"|(?P<mark>(?<!\*)\*\*(?!\*)|(?<![\w~])~~(?=\S)|(?<=\S)~~(?![\w~])|(?<!\w)__(?=\w)|(?<=\w)__(?!\w))|(?P<code>(?<!`)`(?!`))|(?P<straight>\")|(?P<sign>[()（）\[\]【】“”‘’「」『』《》〈〉{}])",
+    re.M,
+)
+_MARKUP_END = re.compile(r"(?:</[A-Za-z][\w-]*\s*>|^[ \t]*(?:`{3,}|~{3,})|```|\|)\s*$", re.M)
+_CLOSERS = "”’」』）)】]》〉}\"'*_~`"
 _END = frozenset("。！？!?.．…～~︕︖;；")
 _MARKER = re.compile(r"^\s*(?:[(（]?\d{1,3}[.．、)）:：]|[(（]?[一二三四五六七八九十]{1,3}[、.．)）]|[-*•·]|[①-⑳])\s*$")
 _ITEM = re.compile(r"^\s*(?:[(（]?(\d{1,3})[.．、)）]|[(（]?([一二三四五六七八九十]{1,3})[、.．)）])\s*\S", re.M)
@@ -102,6 +128,10 @@ def language(t: str) -> str | None:
     han, kana, roman = len(_HAN.findall(t)), len(_KANA.findall(t)), len(_ROMAN.findall(t))
     if kana >= 3 and kana * 5 > han:
         return "ja"
+    if _ANY_OTHER.search(t):
+        n, best = max((len(x.findall(t)), k) for k, x in _OTHERS.items())
+        if n >= 4 and n > han and n > roman:
+            return best
     if han * 2 >= roman and han:
         return "zh"
     if roman < 4:
@@ -112,40 +142,57 @@ def language(t: str) -> str | None:
     return best if score[best] else None
 
 
+def uncovered(body: str, q: str, least: int, most: int) -> int:
+    """Characters of body that lie in no run of ``least`` that q holds; counting ends beyond ``most``."""
+    there = {q[i : i + least] for i in range(len(q) - least + 1)}
+    done = bare = 0
+    for i in range(len(body) - least + 1):
+        if body[i : i + least] in there:
+            done = i + least
+        elif i >= done:
+            bare += 1
+            if bare > most:
+                return bare
+    return bare + max(0, len(body) - max(done, len(body) - least + 1))
+
+
 def is_copy(q: str, a: str) -> bool:
-    """Nothing but the question: prefaces aside, tiles of the question cover the answer."""
-    if not q or len(a) > 4 * len(q) + 16:
+    """Nothing but the question, once or several times: prefaces aside, tiles of it cover the answer."""
+    if not q:
         return False
     body = a
     while m := _PREFACE.match(body):
         if body.startswith(q):
             break
         body = body[m.end() :]
-    if not body:
+    if not body or len(body) < 0.7 * len(q):
         return False
-    done = sum(e - s for s, e in tiles(body, q, min(5, len(q))))
-    return done >= 0.92 * len(body) and len(body) >= 0.7 * len(q)
+    least = min(5, len(q))
+    most = int(0.08 * len(body))
+    if uncovered(body, q, least, most) > most:  # no tiling can cover more
+        return False
+    return sum(e - s for s, e in tiles(body, q, least)) >= 0.92 * len(body)
 
 
 def is_refusal(question: str, answer: str) -> bool:
     """Every clause, a repeated question aside, apologises, declines or sends elsewhere, and one declines."""
     if question and question in answer:
         answer = answer.replace(question, "，")
-    elif len(answer) > 40 and question and letters(question)[:12] in letters(answer):
+    elif question:
         la, lq = letters(answer), letters(question)
-        cover = [x for x in tiles(la, lq, 8)]
-        keep, at = [], 0
         inside = set()
-        for s, e in cover:
-            inside.update(range(s, e))
-        for ch in answer:
-            if ch.isalnum():
-                if at not in inside:
-                    keep.append(ch)
-                at += 1
-            else:
+        if any(lq[i : i + 8] in la for i in range(len(lq) - 7)):
+            for s, e in tiles(la, lq, 8):
+                inside.update(range(s, e))
+        keep, at = [], 0
+        for ch in answer if inside else ():
+            if not ch.isalnum():
+                keep.append(ch)
+                continue
+            if at not in inside:
                 keep.append(ch)
-        answer = "".join(keep)
+            at += 1
+        answer = "".join(keep) if inside else answer
     no = False
     for part in _BREAK.split(answer):
         part = part.strip()
@@ -159,26 +206,61 @@ def is_refusal(question: str, answer: str) -> bool:
     return no
 
 
+def left_open(t: str) -> bool:
+    """A pushdown parse of fences, code, comments, tags, emphasis, quotations and brackets: whether
+    something is open at the end.  A closing sign without its opening one is passed over."""
+    stack: list[str] = []
+    for m in _TOKEN.finditer(t):
+        kind = m.lastgroup if m.lastgroup != "self" else "tag"
+        top = stack[-1] if stack else ""
+        if top == "fence":  # within, only its end counts
+            if kind == "fence":
+                stack.pop()
+        elif kind == "fence":
+            stack = [x for x in stack if x != "code"] + ["fence"]
+        elif top == "comment" or kind == "comment":
+            if m[0] == "<!--":
+                stack.append("comment")
+            elif top == "comment" and m[0] == "-->":
+                stack.pop()
+        elif kind == "code":
+            stack.pop() if top == "code" else stack.append("code")
+        elif top == "code":
+            continue
+        elif kind == "cut":
+            return True
+        elif kind == "end":
+            name = "<" + m["end"].lower()
+            if name in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(name) :]
+        elif kind == "tag":
+            if not m["self"] and m["tag"].lower() not in _VOID:
+                stack.append("<" + m["tag"].lower())
+        elif kind in ("mark", "straight"):
+            sign = m[0]
+            if sign in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(sign) :]
+            else:
+                stack.append(sign)
+        elif m[0] in _OPEN:
+            stack.append(m[0])
+        elif m[0] in _PAIRS and top == _PAIRS[m[0]]:
+            stack.pop()
+    return bool(stack)
+
+
 def is_truncated(a: str) -> bool:
-    """A pushdown parse of brackets, quotations, fences and lists: something open at the end, or an
-    end that is no end of a sentence."""
+    """Something open at the end, a list that lacks announced items or ends with a bare marker, or an end
+    that is no end of a sentence."""
     t = a.rstrip()
-    while t and (U.category(t[-1]) in ("So", "Cf", "Mn", "Sk") or t[-1] in "​️"):
+    while t and (U.category(t[-1]) in ("So", "Cf", "Mn", "Sk") and t[-1] != "`" or t[-1] in "​️"):
         t = t[:-1].rstrip()
     if not t:
         return False
     lines = t.split("\n")
     if _MARKER.match(lines[-1]) and len(lines) > 1:
         return True
-    if t.count("```") % 2:
-        return True
-    stack: list[str] = []
-    for ch in t:
-        if ch in _OPEN:
-            stack.append(ch)
-        elif ch in _PAIRS and stack and stack[-1] == _PAIRS[ch]:
-            stack.pop()
-    if stack:
+    if left_open(t):
         return True
     m = None
     for m in _ANNOUNCED.finditer(t):
@@ -187,6 +269,8 @@ def is_truncated(a: str) -> bool:
         want = int(m[1]) if m[1].isdigit() else _NUMBER[m[1]]
         if 0 < len(_ITEM.findall(t, m.end() - 1)) < want:
             return True
+    if _MARKUP_END.search(t) and not _MARKER.match(lines[-1]):
+        return False
     end = t.rstrip(_CLOSERS)
     if not end:
         return False
@@ -203,18 +287,17 @@ def defect(question: str | None, answer: str | None) -> str | None:
     """The defect of a pair, or None: empty, refusal, copy, other_language or truncated, the first that holds."""
     if answer is None:
         return "empty"
-    raw = letters(answer)
-    if len(raw) <= 64:  # a filler is far shorter, however it is written
+    if len(letters(answer)) <= MOST_FILLER:
         la = letters(U.normalize("NFKC", answer)).lower()
         if not la or la in FILLERS:
             return "empty"
     q = question or ""
     if _NEGATES.search(answer) and is_refusal(q, answer):
         return "refusal"
-    if len(answer) <= 4 * len(q) + 32 and is_copy(letters(q), letters(answer)):
+    if is_copy(letters(q), letters(answer)):
         return "copy"
     lq, la = language(q), language(answer)
-    if lq and la and lq != la and not _ASKS[la].search(q):
+    if lq and la and lq != la and not (la in _ASKS and _ASKS[la].search(q)):
         return "other_language"
     return "truncated" if is_truncated(answer) else None
 

@@ -195,3 +195,22 @@ def test_glyphs_are_learned_from_the_corpus(spark):
     assert scans.learned(base) == ("鑫淼",) and scans.learned(base.limit(0)) == ()
     got = {(r["row_key"], r["noise"]) for r in scans.found({"a": (df, "id", "t")}).collect()}
     assert got == {(1000 + i, "misread") for i in range(12)}
+
+
+@pytest.mark.parametrize("answer,kind", [
+    ("<div><p>桂枝三两，一升一降。", "truncated"), ("<div><p>桂枝三两，一升一降。</p></div>", None), ("<!-- 桂枝三两，一升一降。", "truncated"), ("桂枝**三两，一升一降。", "truncated"), ("桂枝**三两**，一升一降。", None), ("他说\"桂枝三两，一升一降。", "truncated"),
+    ("他说\"桂枝三两\"，一升一降。", None), ("~~~\nx = 1\n~~~", None), ("先看代码：\n```\nx = (1\n```", None), ("用`桂枝三两。", "truncated"), ("桂枝三两，一升一降。<di", "truncated"), ("（一）桂枝三两。\n（二）一升一降。", None), ("1) 桂枝三两。\n2) 一升一降。", None),
+    ("El cansado panadero bebió el polvo en la primavera y sus rodillas se aliviaron.", "other_language"), ("Весной усталый пекарь выпил порошок, и его колени отпустило.", "other_language"), ("봄에 지친 제빵사가 가루를 마시고 무릎이 편해졌습니다.", "other_language"),
+    ("略" + " " * 70, "empty"), (Q * 60, "copy"), ("抱歉，我无法回答这个问题，请咨询医师。" * 20, "refusal"), (("关于“" + Q + "”，恕我无法作答。") * 9, "refusal"),
+])
+def test_defect_by_the_parsers(answer, kind):
+    assert defects.defect(Q, answer) == kind
+
+
+def test_uncovered_counts_what_no_run_holds():
+    rng = random.Random(7)
+    for _ in range(300):
+        q, body = ("".join(rng.choice("甲乙丙") for _ in range(rng.randrange(1, 14))) for _ in range(2))
+        least = min(5, len(q))
+        held = [any(body[s : s + least] in q for s in range(max(0, i - least + 1), i + 1) if s + least <= len(body)) for i in range(len(body))]
+        assert defects.uncovered(body, q, least, 99) == held.count(False)

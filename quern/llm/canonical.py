@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata as U
 from collections import Counter
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +30,6 @@ RADICALS = dict(zip(
 #: Kinds of compatibility mapping that keep the print; super- and subscripts, circles and fractions do not.
 _SAME_PRINT = ("<wide>", "<narrow>", "<compat>", "<square>", "<noBreak>", "<vertical>")
 _FILLERS = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0}
-#: Words of the corpus, most frequent first, that the trie holds; others are spelled by table.
-VOCABULARY = 20_000
 
 
 def ignorable(ch: str) -> bool:
@@ -84,108 +82,187 @@ def by_table(word: str) -> str:
 
 
 class Trie:
-    """Vocabulary trie walked by an edit automaton in which a look-alike costs nothing.
+    """Vocabulary trie walked by a weighted edit automaton.
 
-    Every state is a set of trie nodes; a letter leads along all edges of its look-alike class.
-    Other edits cost more than the limit of zero, so such walks end.  Of several words reached,
-    the most frequent one is the spelling."""
+    A state is a place in the trie with the cost of reaching it.  A stored character is first spread
+    to its print (width, composition, ligatures; nothing for an ignorable); a letter leads along the
+    edges of its look-alike class at no cost, and by substitution, insertion or omission at one each,
+    as far as ``limit`` allows.  The limit is 0 where only what looks the same may be joined.  Of
+    several words reached, the cheapest and then the most frequent one is the spelling."""
 
-    def __init__(self, words: list[tuple[str, int]]):
+    def __init__(self, words: list[tuple[str, int]], limit: int = 0):
         self.root: dict = {}
+        self.limit = limit
         for word, n in words:
             node = self.root
-            for ch in word:
+            for ch in U.normalize("NFD", word):
                 node = node.setdefault(ch, {})
             node[""] = max(node.get("", (0, "")), (n, word))
-        self.same: dict[str, list[str]] = {}
-        for k, v in LOOK_ALIKES.items():
-            for ch in (k, v):
-                self.same.setdefault(v, [v])
-            self.same[v].append(k)
-        for v, all_ in list(self.same.items()):
-            for ch in all_:
-                self.same[ch] = all_
+
+    def _closed(self, states: dict[int, tuple[dict, int]]) -> dict[int, tuple[dict, int]]:
+        """States reached by omitting letters of the word, too."""
+        todo = list(states.values())
+        while todo:
+            node, cost = todo.pop()
+            for ch, to in node.items():
+                if ch and cost < self.limit and cost + 1 < states.get(id(to), (to, self.limit + 1))[1]:
+                    states[id(to)] = (to, cost + 1)
+                    todo.append((to, cost + 1))
+        return states
 
     def spelling(self, word: str) -> str | None:
-        states = [self.root]
-        for ch in word:
-            if ignorable(ch):
-                continue
-            states = [n[c] for n in states for c in self.same.get(ch, (ch,)) if c in n]
-            if not states:
-                return None
-        ends = [n[""] for n in states if "" in n]
-        return max(ends)[1] if ends else None
+        states = self._closed({id(self.root): (self.root, 0)})
+        for stored in word:
+            for ch in _TABLE[ord(stored)]:
+                new: dict[int, tuple[dict, int]] = {}
+                same = _SAME.get(ch, (ch,))
+                for node, cost in states.values():
+                    if cost < self.limit and cost + 1 < new.get(id(node), (node, self.limit + 1))[1]:
+                        new[id(node)] = (node, cost + 1)
+                    for c, to in node.items() if self.limit else ((c, node[c]) for c in same if c in node):
+                        much = cost + (c not in same)
+                        if c and much <= self.limit and much < new.get(id(to), (to, self.limit + 1))[1]:
+                            new[id(to)] = (to, much)
+                states = self._closed(new)
+                if not states:
+                    return None
+        ends = [(-cost, *node[""]) for node, cost in states.values() if "" in node]
+        return max(ends)[2] if ends else None
+
+
+_SAME: dict[str, list[str]] = {}
+for _k, _v in LOOK_ALIKES.items():
+    _SAME.setdefault(_v, [_v]).append(_k)
+for _all in list(_SAME.values()):
+    for _k in _all:
+        _SAME[_k] = _all
+#: A word as stored: letters that may have look-alikes, in any width, with marks and ignorables among them.
+_STORED = re.compile("[A-Za-zªºÀ-ɏ̀-ͯͰ-ϿЀ-ԯḀ-ỿἀ-῿\u2126\u212a\u212bＡ-Ｚａ-ｚﬀ-ﬆµ\u00ad\u034f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0100-\U000e01ef]+")
+
+
+def skeleton(word: str) -> str:
+    """What all words that look like this one share."""
+    return word.translate(_TABLE).translate(_LATIN)
+
+
+def _has_twin(word: str) -> bool:
+    """It holds a letter of a look-alike class."""
+    return not _SAME.keys().isdisjoint(word.translate(_TABLE))
 
 
 def canonical(text: str | None, trie: Trie | None = None) -> str | None:
     """The one form of a text: width, invisible characters, kind of blank, composition and
-    look-alike letters make no difference to it.  Null stays null."""
+    look-alike letters make no difference to it.  Words that the trie reaches get its spelling, all
+    else is normalised by table.  Null stays null."""
     if text is None:
         return None
+    if trie is None:
+        return U.normalize("NFC", _tabled(text).translate(_SIGNS))
+    out, at = [], 0
+    for m in _STORED.finditer(text):
+        known = trie.spelling(m[0])
+        if known is not None:
+            out += [_tabled(text[at : m.start()]).translate(_SIGNS), known]
+            at = m.end()
+    return U.normalize("NFC", "".join(out) + _tabled(text[at:]).translate(_SIGNS))
+
+
+def _tabled(text: str) -> str:
     t = text.translate(_TABLE)
-    if _FOREIGN.search(t):
-        t = _WORD.sub(lambda m: (trie and trie.spelling(m[0])) or by_table(m[0]), t)
-    return U.normalize("NFC", t.translate(_SIGNS))
+    return _WORD.sub(lambda m: by_table(m[0]), t) if _FOREIGN.search(t) else t
 
 
 _SIGNS = {ord(k): v for k, v in LOOK_ALIKES.items() if not v.isalpha()}
 
 
-@lru_cache(maxsize=2)
-def _trie(words: tuple) -> Trie:
-    return Trie(list(words))
+@lru_cache(maxsize=1)
+def foreign_class() -> str:
+    """A regular expression's class that holds all characters whose print has a Greek or Cyrillic letter.
 
+    A few wide ranges, so that it is quick; that it holds others, too, costs some joins and changes nothing."""
+    own = [o for o in range(0x80, 0x30000) if not 0xAC00 <= o < 0xE000 and (0x36F < o < 0x530 or U.decomposition(chr(o))) and _FOREIGN.search(_TABLE[o])]
+    ranges: list[list[int]] = []
+    for o in own:
+        if ranges and o - ranges[-1][1] <= 256:
+            ranges[-1][1] = o
+        else:
+            ranges.append([o, o])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
-def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> tuple[tuple[str, int], ...]:
-    """The most frequent words whose spelling is already that of the table, with their counts.
 
-    Words are counted in every text; what comes to the driver is bounded by ``size``."""
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+_SPELLED = pa.schema([("skeleton", pa.string()), ("spelling", pa.string()), ("n", pa.int64())])
+_ASKED = pa.schema([("text_id", pa.int64()), ("skeleton", pa.string())])
+_FORM = pa.schema([("tab", pa.int32()), ("key", pa.int64()), ("text", pa.string()), ("canonical", pa.string())])
 
-    def count(b: pa.RecordBatch):
-        c = Counter()
-        for t in b.column("text").to_pylist():
-            if t:
-                c.update(w for w in _WORD.findall(t) if not _FOREIGN.search(w) or by_table(w) == w)
-        yield K.table(schema, list(c), list(c.values()))
-
-    words = C.map_rows(texts.select("text"), ["text"], count, schema).groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(size).collect()
-    return tuple((U.normalize("NFD", r["word"]), r["n"]) for r in top)
 
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """(skeleton, spelling, n): of all words that look the same but are spelled in several ways, the
+    spelling that most copies have.
 
-def canonical_texts(df: DataFrame, id_col: str, text: str, words: tuple | None = None) -> DataFrame:
-    """(key, text, canonical): every text in its one form.
+    Words are counted in every text, combined per batch before the shuffle; nothing comes to the driver."""
 
-    Method: words that hold letters of several scripts walk the vocabulary trie, whose zero-cost
-    edges are look-alikes and ignorables; words it does not hold are spelled by table.  Both agree
-    on what is equal, so texts that look the same come out equal whatever the vocabulary is.
-    Null texts stay null, empty ones empty; rows and repeats are kept; other columns are ignored.
+    def count(b: pa.RecordBatch):
+        stored = Counter()
+        for t in b.column("text").to_pylist():
+            if t:
+                stored.update(_STORED.findall(t))
+        c: Counter = Counter()
+        for w, n in stored.items():
+            if _has_twin(w):
+                c[U.normalize("NFC", w.translate(_TABLE))] += n
+        yield K.table(_SPELLED, [skeleton(w) for w in c], list(c), list(c.values()))
+
+    spelled = C.map_rows(texts.select("text"), ["text"], count, _SPELLED).groupBy("skeleton", "spelling").agg(F.sum("n").alias("n"))
+    return spelled.groupBy("skeleton").agg(F.max(F.struct("n", "spelling")).alias("best"), F.count(F.lit(1)).alias("ways")).where("ways > 1").select("skeleton", "best.spelling", "best.n")
+
+
+def canonical_texts(tables: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """(tab, key, text, canonical): every text of several tables (frame, key, text) in its one form; tab is the
+    table's place in the list.
+
+    Method: words that look the same are grouped by their skeletons over all tables, and where they are
+    spelled in several ways the most frequent spelling is kept.  A text that may need one gets the
+    spellings of its words by a join, builds their trie and walks it with a weighted edit automaton
+    to which look-alikes and ignorables cost nothing; words the trie does not reach, and all other
+    characters, are normalised by table.  The vocabulary depends on skeletons alone, so texts that look
+    the same come out equal.  Null texts stay null, empty ones empty; rows and repeats are kept; other
+    columns are ignored; nothing is capped, cut or collected.
     """
-    base = C.spread(df.select(C.column(df, id_col, "long").alias("key"), C.column(df, text, "string").alias("text")))
-    known = vocabulary(base) if words is None else words
-    shared = df.sparkSession.sparkContext.broadcast(known)
-    schema = pa.schema([("key", pa.int64()), ("text", pa.string()), ("canonical", pa.string())])
+    parts = [df.select(F.lit(i).cast("int").alias("tab"), C.column(df, key, "long").alias("key"), C.column(df, text, "string").alias("text")) for i, (df, key, text) in enumerate(tables)]
+    base = C.spread(reduce(DataFrame.unionByName, parts))
+    known = C.cut(vocabulary(base.where("text is not null")))
+    # words in Latin letters only need the vocabulary where another script has won
+    wide = not known.where(F.col("spelling").rlike(foreign_class())).isEmpty()
+    odd = F.coalesce(F.col("text").rlike(foreign_class() if not wide else f"{foreign_class()}|[A-Za-zＡ-Ｚａ-ｚ]"), F.lit(False))
+
+    def ask(b: pa.RecordBatch):
+        ids, names = [], []
+        for i, t in zip(b.column("text_id").to_pylist(), b.column("text").to_pylist()):
+            for w in {skeleton(w) for w in set(_STORED.findall(t)) if _has_twin(w)}:
+                ids.append(i)
+                names.append(w)
+        yield K.table(_ASKED, ids, names)
+
+    some = base.where(odd).withColumn("text_id", F.xxhash64("text"))
+    asked = C.map_rows(some.select("text_id", "text"), ["text"], ask, _ASKED).distinct()
+    words = asked.join(known, "skeleton").groupBy("text_id").agg(F.collect_list(F.struct("spelling", "n")).alias("words"))
 
     def form(b: pa.RecordBatch):
-        trie = _trie(shared.value)
-        yield K.table(schema, b.column("key"), b.column("text"), [canonical(t, trie) for t in b.column("text").to_pylist()])
+        words = b.column("words").to_pylist() if "words" in b.schema.names else [None] * b.num_rows
+        done = [canonical(t, Trie([(w["spelling"], w["n"]) for w in ws]) if ws else None) for t, ws in zip(b.column("text").to_pylist(), words)]
+        yield K.table(_FORM, b.column("tab"), b.column("key"), b.column("text"), done)
 
-    return C.map_rows(base, ["text"], form, schema)
+    plain = C.map_rows(base.where(~odd), ["text"], form, _FORM)
+    return plain.unionByName(C.map_rows(some.join(words, "text_id", "left").select("tab", "key", "text", "words"), ["text"], form, _FORM))
 
 
 def found(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """(table_name, key_a, key_b), smaller first: rows of a table that look the same, stored otherwise.
 
     Only hashes are shuffled; classes with a single stored form are dropped before rows are paired."""
-    parts = []
-    for name, (df, key, text) in tables.items():
-        c = canonical_texts(df.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{key}`").isNotNull()), key, text)
-        parts.append(c.select(F.lit(name).alias("table_name"), "key", F.xxhash64("canonical").alias("c"), F.xxhash64("text").alias("s")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    names = F.array(*[F.lit(t) for t in tables])
+    c = canonical_texts([(df.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{key}`").isNotNull()), key, text) for df, key, text in tables.values()])
+    rows = c.select(names[F.col("tab")].alias("table_name"), "key", F.xxhash64("canonical").alias("c"), F.xxhash64("text").alias("s"))
     rows = C.cut(rows)
     mixed = rows.groupBy("table_name", "c").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi").select("table_name", "c")
     some = rows.join(mixed, ["table_name", "c"], "left_semi")

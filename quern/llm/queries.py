@@ -22,8 +22,8 @@ def _sized(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _canonical_texts(s: SparkSession, d: str) -> DataFrame:
-    parts = [canonical.canonical_texts(_t(s, d, t), *c).select(F.lit(t).alias("table_name"), F.col("key").alias("row_key"), "canonical") for t, c in _CANON.items()]
-    return parts[0].unionByName(parts[1])
+    forms = canonical.canonical_texts([(_t(s, d, t), *c) for t, c in _CANON.items()])
+    return forms.select(F.array(*[F.lit(t) for t in _CANON])[F.col("tab")].alias("table_name"), F.col("key").alias("row_key"), "canonical")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -44,12 +44,29 @@ def test_vocabulary_changes_spelling_never_equality():
     assert trie.spelling("ΒМ​І") == "BMI" and trie.spelling("BMX") is None
 
 
+def test_trie_weighs_edits():
+    words = [("сахар", 5), ("ginger", 3), ("ginseng", 9)]
+    assert canonical.Trie(words).spelling("сaхap") == "сахар" and canonical.Trie(words).spelling("gínger") is None
+    near = canonical.Trie(words, limit=1)
+    assert near.spelling("gimger") == near.spelling("gnger") == near.spelling("ginnger") == "ginger" and near.spelling("ｇｉｎ​ｇｅｒ") == "ginger" and near.spelling("gingko") is None
+
+
+def test_the_vocabulary_chooses_the_spelling(spark):
+    """Letters all of which have Latin twins: the table would write Latin, the corpus writes Cyrillic."""
+    rows = [(i, "сахар и рис") for i in range(6)] + [(10, "сaхар и рис"), (11, "caxap и рис"), (12, "мёд"), (13, None), (14, "ﬁn BМI"), (15, "BMI"), (16, "BMI")]
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    got = {r["key"]: r["canonical"] for r in canonical.canonical_texts([(df, "k", "t")]).collect()}
+    assert got[10] == got[11] == got[0] == "сахар и рис" and canonical.canonical("сaхар") == "caxap"
+    assert got[13] is None and got[14] == "fin BMI" and got[12] == "мёд"
+    assert {tuple(r)[1:] for r in canonical.found({"a": (df, "k", "t")}).collect()} == {(i, j) for i in range(6) for j in (10, 11)} | {(10, 11)}
+
+
 def test_canonical_found(spark):
     rows = [(1, "七钱，8"), (2, "七钱,8"), (3, "七钱,8"), (4, None), (5, ""), (6, "​"), (7, "别的"), (None, "七钱，８"), (8, "x" * 50_000), (9, "ｘ" * 50_000), (2, "七钱,8")]
     df = spark.createDataFrame([(*r, "q") for r in rows], "k bigint, t string, canonical string")
     got = {tuple(r) for r in canonical.found({"a": (df, "k", "t"), "b": (df.limit(0), "k", "t")}).collect()}
     assert got == {("a", 1, 2), ("a", 1, 3), ("a", 5, 6), ("a", 8, 9)}
-    assert df.count() == canonical.canonical_texts(df, "k", "t").count()
+    assert df.count() == canonical.canonical_texts([(df, "k", "t")]).count()
 
 
 Q = "请讲解樟霰散的组成和用法。"

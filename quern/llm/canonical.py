@@ -68,6 +68,7 @@ for _k, _v in LOOK_ALIKES.items():
         _BACK[U.name(_k).split()[0]].setdefault(_v, _k)
 _LATIN = str.maketrans(LOOK_ALIKES)
 _FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
+_LATIN_LETTER = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
 _WORD = re.compile("[A-Za-zÀ-ɏ̀-ͯͰ-ϿЀ-ԯḀ-ỿ]+")
 
 
@@ -190,14 +191,15 @@ def foreign_class() -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
-_SPELLED = pa.schema([("skeleton", pa.string()), ("spelling", pa.string()), ("n", pa.int64())])
+_SPELLED = pa.schema([("skeleton", pa.string()), ("spelling", pa.string()), ("latin", pa.bool_()), ("n", pa.int64())])
 _ASKED = pa.schema([("text_id", pa.int64()), ("skeleton", pa.string())])
 _FORM = pa.schema([("tab", pa.int32()), ("key", pa.int64()), ("text", pa.string()), ("canonical", pa.string())])
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
     """(skeleton, spelling, n): of all words that look the same but are spelled in several ways, the
-    spelling that most copies have.
+    spelling in one script that most copies have, Latin letters in a tie.  Words that are only spelled
+    in mixed scripts are left to the table.
 
     Words are counted in every text, combined per batch before the shuffle; nothing comes to the driver."""
 
@@ -210,10 +212,13 @@ def vocabulary(texts: DataFrame) -> DataFrame:
         for w, n in stored.items():
             if _has_twin(w):
                 c[U.normalize("NFC", w.translate(_TABLE))] += n
-        yield K.table(_SPELLED, [skeleton(w) for w in c], list(c), list(c.values()))
+        pure = [w for w in c if not (_FOREIGN.search(w) and _LATIN_LETTER.search(w))]
+        mixed = [w for w in c if _FOREIGN.search(w) and _LATIN_LETTER.search(w)]
+        yield K.table(_SPELLED, [skeleton(w) for w in pure + mixed], pure + [None] * len(mixed), [not _FOREIGN.search(w) for w in pure] + [False] * len(mixed), [c[w] for w in pure + mixed])
 
-    spelled = C.map_rows(texts.select("text"), ["text"], count, _SPELLED).groupBy("skeleton", "spelling").agg(F.sum("n").alias("n"))
-    return spelled.groupBy("skeleton").agg(F.max(F.struct("n", "spelling")).alias("best"), F.count(F.lit(1)).alias("ways")).where("ways > 1").select("skeleton", "best.spelling", "best.n")
+    spelled = C.map_rows(texts.select("text"), ["text"], count, _SPELLED).groupBy("skeleton", "spelling", "latin").agg(F.sum("n").alias("n"))
+    one = F.when(F.col("spelling").isNotNull(), F.struct("n", "latin", "spelling"))
+    return spelled.groupBy("skeleton").agg(F.max(one).alias("best"), F.count(F.lit(1)).alias("ways")).where("ways > 1 and best is not null").select("skeleton", "best.spelling", "best.n")
 
 
 def canonical_texts(tables: list[tuple[DataFrame, str, str]]) -> DataFrame:

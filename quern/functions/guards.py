@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Units and numerals of doses, signs of cooking directions, words of emergencies.
+# Numerals and units of doses, words of prescribing, of emergencies asked about and answered, and
+# signs of cooking directions.
 NUMERAL = "[0-9０-９一二三四五六七八九十百千万两半]"
 DOSE = NUMERAL + r"+\s*(?:克|钱|两|斤|g|G|ml|毫升|片|粒|枚|付|剂|碗|升)"
-DOSE_WORDS = r"剂量|用量|用法|一次\s*\d+|每次\s*\d+|开方|处方|抓药|煎服|水煎服"
+DOSE_MENTION = NUMERAL + r"+\s*(?:克|钱|两|斤|g|G|ml|毫升|片|粒|枚|付|剂|碗|升|合|斗)"
+DOSE_WORDS = r"剂量|用量|用法|一次\s*\d+|每次\s*\d+|开方|处方|抓药|煎服|水煎服|吃点药|开点药|开个药|给你开|用药治疗|用药建议|吃这个药"
 DOSE_QUESTION = "多少克|多少钱|多少两|几克|几钱|剂量|用量|怎么吃|怎么服|吃多少|一次吃|每次吃|一日吃|开个方|开方|处方|给我开|帮我开|药方|抓药|煎药|熬药|服用方法"
+EMERGENCY_QUESTION = (
+    "脑溢血|脑出血|急性心梗|心肌梗死|休克|大出血|昏迷不醒|抽搐不止|呼吸困难|剧烈胸痛|胸口剧痛|快不行|急救|马上要晕|晕倒在地|中风了|脑中风|中风发作|急性中风|"
+    "流血不止|血止不住|止不住|鼻血不止|流鼻血.*不止|吐血|咯血"
+)
 EMERGENCY = "脑溢血|脑出血|心梗|心肌梗死|休克|大出血|昏迷|抽搐|呼吸困难|剧烈胸痛"
 COOKING = "上四味|以水|煮取|温服|煎服|去滓|内诸药|为散|杵捣|杵为"
 
 
-def input_guard(question: Column, dose: str = DOSE_QUESTION, emergency: str = EMERGENCY) -> Column:
+def input_guard(question: Column, dose: str = DOSE_QUESTION, emergency: str = EMERGENCY_QUESTION) -> Column:
     """Why a question is stopped before retrieval: dose first, then emergency, else null."""
     return F.when(question.rlike(dose), "dose").when(question.rlike(emergency), "emergency")
 
@@ -44,7 +50,7 @@ def with_notices(answer: Column, notice: str, urgent: str) -> Column:
 
 def masked_doses(text: Column, mask: str = "〔剂量从略〕", rest: str = "（煎服方法从略）") -> Column:
     """Mask doses and cut at the first cooking direction."""
-    masked = F.regexp_replace(text, DOSE, mask)
+    masked = F.regexp_replace(text, DOSE_MENTION, mask)
     return F.when(masked.rlike(COOKING), F.concat(F.element_at(F.split(masked, COOKING), 1), F.lit(rest))).otherwise(masked)
 
 
@@ -55,6 +61,13 @@ def judge_score(raw: Column) -> Column:
     return F.coalesce(clamp(number(r"分数[：:]\s*(\d+(?:\.\d+)?)")), number(r"(\d+(?:\.\d+)?)\s*/\s*5"), clamp(number(r"^\s*(\d+(?:\.\d+)?)")), F.lit(0.0))
 
 
+def judged(raw: Column, error: Column | None = None) -> Column:
+    """(score, error) of one judging call in a batch: a failed or missing reply scores -1 and keeps its error."""
+    failed = raw.isNull() if error is None else raw.isNull() | error.isNotNull()
+    why = F.lit("no reply") if error is None else F.coalesce(error, F.lit("no reply"))
+    return F.struct(F.when(failed, -1.0).otherwise(judge_score(raw)).alias("score"), F.when(failed, why).alias("error"))
+
+
 def judge_reason(raw: Column) -> Column:
     found = F.trim(F.regexp_extract(raw, r"(?s)理由[：:]\s*(.+)", 1))
     return F.when(found != "", found).otherwise(F.left(raw, F.lit(200)))
@@ -62,12 +75,12 @@ def judge_reason(raw: Column) -> Column:
 
 def sse_answer(body: Column) -> Column:
     """Answer text of a server-sent event body: chunks of its data lines, in order."""
-    data = F.transform(F.filter(F.split(body, "\n"), lambda x: F.startswith(x, F.lit("data:"))), lambda x: F.from_json(F.trim(F.substring(x, 6, 1_000_000)), "type string, content string, latency double"))
+    data = F.transform(F.filter(F.split(body, "\n"), lambda x: F.startswith(x, F.lit("data:"))), lambda x: F.from_json(F.trim(F.substr(x, F.lit(6))), "type string, content string, latency double"))
     return F.array_join(F.transform(F.filter(data, lambda e: e["type"] == "chunk"), lambda e: F.coalesce(e["content"], F.lit(""))), "")
 
 
 def sse_latency(body: Column) -> Column:
     """Latency of the last closing event, or null."""
-    data = F.transform(F.filter(F.split(body, "\n"), lambda x: F.startswith(x, F.lit("data:"))), lambda x: F.from_json(F.trim(F.substring(x, 6, 1_000_000)), "type string, content string, latency double"))
+    data = F.transform(F.filter(F.split(body, "\n"), lambda x: F.startswith(x, F.lit("data:"))), lambda x: F.from_json(F.trim(F.substr(x, F.lit(6))), "type string, content string, latency double"))
     done = F.filter(data, lambda e: e["type"] == "done")
     return F.when(F.size(done) > 0, F.try_element_at(done, F.lit(-1))["latency"])

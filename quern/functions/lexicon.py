@@ -33,10 +33,18 @@ def matches(texts: DataFrame, text: str, terms: DataFrame, term: str = "term") -
     return texts.join(F.broadcast(terms), F.contains(F.col(text), F.col(term)))
 
 
-def matches_by_pattern(texts: DataFrame, text: str, terms: DataFrame, term: str = "term", longest: int = 12) -> DataFrame:
-    """The same for large lexicons: every substring up to the longest term meets the terms in an equi-join."""
+def matches_by_pattern(texts: DataFrame, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
+    """The same for large lexicons: substrings as long as some term meet the terms in an equi-join.
+
+    Only the lengths that terms have come to the driver, so no term is lost, however long it is."""
     t = F.col(text)
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))).otherwise(F.array().cast("array<string>")))))
+    sizes = [r[0] for r in terms.select(F.length(term)).distinct().collect() if r[0]]
+
+    def pieces(n: int) -> Column:
+        return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    cuts = [pieces(n) for n in sorted(sizes)]
+    grams = F.array_distinct(F.flatten(F.array(*cuts))) if cuts else F.array().cast("array<string>")
     return texts.withColumn("_gram", F.explode(grams)).join(terms, F.col("_gram") == F.col(term)).drop("_gram")
 
 
@@ -57,6 +65,34 @@ def expand(query: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     return F.aggregate(table, query, lambda q, p: F.when(F.contains(query, p["said"]) & ~F.contains(q, p["formal"]), F.concat(q, F.lit(" "), p["formal"])).otherwise(q))
 
 
+def symptoms(text: Column, formal: Sequence[str], colloquial: Sequence[tuple[str, str]]) -> Column:
+    """Formal words of what the text complains of: formal ones that occur, then those of colloquial ones;
+    negated ones are left out, and a formal word is named once."""
+    said = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(a)) & ~negated(text, a), F.lit(b)) for a, b in colloquial]))
+    return F.array_distinct(F.concat(found_terms(text, formal), said))
+
+
+def votable(text: Column, formal: Sequence[str], colloquial: Sequence[tuple[str, str]], terms: Sequence[str], long: int = 4) -> Column:
+    """Symptoms that a vote knows, then its long terms as they stand in the text, the longest first."""
+    known = F.array_intersect(symptoms(text, formal, colloquial), F.array(*[F.lit(t) for t in terms]))
+    scan = sorted((t for t in terms if len(t) >= long), key=len, reverse=True)
+    return F.array_distinct(F.concat(known, found_terms(text, scan, False)))
+
+
+def clause_list(defining: Column, treating: Column) -> Column:
+    """The clauses of a concept: those that define it, then those that treat it, each once."""
+    return F.array_distinct(F.concat(defining, treating))
+
+
+def expand_concept(query: Column, found: Column, keywords: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """The query with the keywords of its concept (``found``) that it does not hold yet."""
+    out = query
+    for name, words in keywords:
+        grown = F.aggregate(F.array(*[F.lit(w) for w in words]).cast("array<string>"), query, lambda q, w: F.when(F.contains(q, w), q).otherwise(F.concat(q, F.lit(" "), w)))
+        out = F.when(found == name, grown).otherwise(out)
+    return out
+
+
 def without(text: Column, words: Sequence[str]) -> Column:
     return reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), words, text)
 

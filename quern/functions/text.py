@@ -13,14 +13,22 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Marks of web copies and printed pages, removed in this order; ``(?m)`` anchors at lines.
+# Marks of web copies and printed pages, removed in this order; ``(?m)`` anchors at lines.
 NOISE = (
-    r"https?://[^\s]+",
     r"www\.[^\s]+",
+    r"https?://[^\s]+",
+    r"微信公众号[:：]?\s*\S*",
+    r"关注公众号[:：]?\s*\S*",
+    r"岐黄传承道法自然",
+    r"伤寒V\d+",
+    r"电子文稿[，,].*",
+    r"公益传播[，,].*",
     r"—\s*\d+\s*—",
     r"-\s*\d+\s*-",
     r"第\s*\d+\s*页",
     r"(?md)^[ \t]*\d+[ \t]*$",
+    r"版权所有",
+    r"翻版必究",
     r"(?md)^.*\.{3,}\d+[ \t]*$",
 )
 # Abbreviations kept when foreign words are stripped.
@@ -104,6 +112,34 @@ def early_marker(c: Column, words: Sequence[str], within: int = 200) -> Column:
     return reduce(lambda a, b: a | b, [F.instr(c, w).between(1, within) for w in words])
 
 
+def is_biography(c: Column, markers: Sequence[str], least: int = 2) -> Column:
+    """So many of the markers occur."""
+    return markers_in(c, markers) >= least
+
+
+def is_not_teaching(c: Column, life: Sequence[str], other: Sequence[str], within: int = 200) -> Column:
+    """A life story, a page of contents, or a marker of something else near the beginning."""
+    return is_biography(c, life) | is_contents_page(c) | early_marker(c, other, within)
+
+
+def length_quality(c: Column) -> Column:
+    """short, medium or good by the number of characters; null below what is kept."""
+    n = F.length(c)
+    return F.when(c.isNull() | (n < 30), F.lit(None).cast("string")).when(n < 50, "short").when(n < 100, "medium").otherwise("good")
+
+
+def paragraphs(c: Column, least: int = 50, most: int = 800) -> Column:
+    """Paragraphs between blank lines, long ones cut at sentences, short ones dropped, overlong sentences truncated."""
+    parts = F.filter(F.transform(F.split(c, "\n\n", -1), strip), lambda x: x != "")
+    cut = F.flatten(F.transform(parts, lambda p: pack_sentences(p, most)))
+    return F.transform(F.filter(cut, lambda x: F.length(x) >= least), lambda x: F.left(x, F.lit(most)))
+
+
+def extraction_verdict(chars_per_page: Column) -> Column:
+    """pass, warning or fail by the mean characters of a page."""
+    return F.when(chars_per_page > 500, "pass").when(chars_per_page > 100, "warning").otherwise("fail")
+
+
 def fix_opening(c: Column, openers: Sequence[str] = OPENERS, least: int = 200) -> Column:
     """Cut a dependent opener (the longest that fits) and the signs after it; null if too little is left."""
     opened = c.rlike(f"^(?:{one_of(openers)})")

@@ -16,11 +16,20 @@ from ..session import cut
 def build(edges: list[tuple[DataFrame, str, str, str]]) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) from frames (src, dst) with their relation and the types of both ends.
 
-    One edge per pair of ends, as in a simple directed graph: the first relation listed wins."""
-    all_ = reduce(DataFrame.unionByName, [df.select(F.col("src").cast("string"), F.col("dst").cast("string"), F.struct(F.lit(i).alias("ord"), F.lit(rel).alias("relation"), F.lit(s).alias("st"), F.lit(d).alias("dt")).alias("e")) for i, (df, rel, s, d) in enumerate(edges)])
+    One edge per pair of ends, as in a simple directed graph: the first relation listed wins.  Where a
+    frame has a column ``change`` it stays with the edge."""
+    changes = any("change" in df.columns for df, *_ in edges)
+    all_ = reduce(DataFrame.unionByName, [df.select(F.col("src").cast("string"), F.col("dst").cast("string"), F.struct(F.lit(i).alias("ord"), F.lit(rel).alias("relation"), F.lit(s).alias("st"), F.lit(d).alias("dt"), (F.col("change") if "change" in df.columns else F.lit(None)).cast("string").alias("change")).alias("e")) for i, (df, rel, s, d) in enumerate(edges)])
     one = all_.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("e").alias("e"))
     vertices = one.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("e.st").alias("type")), F.struct(F.col("dst").alias("id"), F.col("e.dt").alias("type")))).alias("v")).groupBy("v.id").agg(F.min("v.type").alias("type"))
-    return vertices, one.select("src", "dst", F.col("e.relation").alias("relation"))
+    return vertices, one.select("src", "dst", F.col("e.relation").alias("relation"), *([F.col("e.change").alias("change")] if changes else []))
+
+
+def derivations(edges: DataFrame, relation: str = "derived_from") -> DataFrame:
+    """(base, derived, change): what was derived from each vertex, with what the edge says changed.
+
+    Edges (src, dst, relation, change) lead from what was derived to its base."""
+    return edges.where(F.col("relation") == relation).select(F.col("dst").cast("string").alias("base"), F.col("src").cast("string").alias("derived"), "change")
 
 
 def neighbours(edges: DataFrame, key: str, other: str) -> DataFrame:

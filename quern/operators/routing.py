@@ -38,12 +38,29 @@ def names_in(query: Column, pattern: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(query, F.lit(pattern), F.lit(0)))
 
 
+def parts_of(query: Column) -> Column:
+    """What stands on either side of a conjunction, without question patterns; two characters at least."""
+    cut = lambda p: F.regexp_replace(reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), QUESTION, F.trim(p)), "^[？?，,的]+|[？?，,的]+$", "")
+    return F.filter(F.transform(F.split(query, "和|与|跟|以及"), cut), lambda p: F.length(p) >= 2)
+
+
+def longest_first(names: Column) -> Column:
+    """Names by length, the longest first; equal ones in the order given."""
+    keyed = F.transform(names, lambda n, i: F.struct((-F.length(n)).alias("l"), i.alias("i"), n.alias("n")))
+    return F.transform(F.array_sort(keyed), lambda x: x["n"])
+
+
+def entities(query: Column, names: Column) -> Column:
+    """The two things a comparison is about: known names, the longest first, else the parts of the query."""
+    return F.slice(F.when(F.size(names) >= 2, longest_first(names)).otherwise(parts_of(query)), 1, 2)
+
+
 def route(query: Column, names: Column, herbs: Sequence[str]) -> Column:
     """clause, comparison, formula, herb or semantic, tested in this order.
 
     ``names`` are the formula names found in the query.  A comparison needs two of them, or two parts of
     at least two characters around a conjunction."""
-    parts = F.filter(F.transform(F.split(query, "和|与|跟|以及"), lambda p: F.regexp_replace(reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), QUESTION, F.trim(p)), "^[？?，,的]+|[？?，,的]+$", "")), lambda p: F.length(p) >= 2)
+    parts = parts_of(query)
     comparison = has_any(query, COMPARE) & ((F.size(names) >= 2) | (F.size(parts) >= 2))
     begins = F.coalesce(F.startswith(query, F.try_element_at(names, F.lit(1))), F.lit(False))
     herb = has_any(query, herbs)

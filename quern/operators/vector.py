@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import bigrams
+
 #: Vectors in a block of rows and in a block of queries.
 ROW_BLOCK, QUERY_BLOCK = 4096, 512
 
@@ -49,3 +51,38 @@ def top_k(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5
     near = met.mapInArrow(rank, "query long, doc long, score double")
     w = W.partitionBy("query").orderBy(F.desc("score"), "doc")
     return near.withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}").select("query", "doc", (F.col("score") + 0.0).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def hashed(docs: DataFrame, key: str, text: str, dims: int = 256) -> DataFrame:
+    """(id, bucket, x): unit vectors of texts by feature hashing, in sparse form: pairs of letters are counted
+    in ``dims`` buckets.  An embedder without a model; null and empty texts have no vector."""
+    t = docs.select(F.col(key).alias("id"), F.explode(bigrams(F.coalesce(F.col(text), F.lit("")))).alias("token"))
+    b = t.select("id", (F.conv(F.left(F.md5("token"), F.lit(6)), 16, 10).cast("long") % dims).cast("int").alias("bucket")).groupBy("id", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    size = b.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
+    return b.join(size, "id").select("id", "bucket", (F.col("n") / F.col("size")).alias("x"))
+
+
+def text_top_k(docs: DataFrame, queries: DataFrame, doc_key: str, doc_text: str, query_key: str, query_text: str, k: int = 5, dims: int = 256) -> DataFrame:
+    """(query, doc, score, rank): the k texts nearest to each query by the cosine of their hashed vectors.
+
+    Vectors meet in an equi-join on their buckets, summed before the window keeps k rows a query.
+    Scores are rounded to 6 digits; ties go to the smaller document."""
+    d = hashed(docs, doc_key, doc_text, dims).select(F.col("id").alias("doc"), "bucket", F.col("x").alias("dx"))
+    q = hashed(queries, query_key, query_text, dims).select(F.col("id").alias("query"), "bucket", F.col("x").alias("qx"))
+    scored = q.join(d, "bucket").groupBy("query", "doc").agg(F.round(F.sum(F.col("qx") * F.col("dx")), 6).alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "doc")))
+    return ranked.where(f"rank <= {k}").select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def text_sql(docs: str, queries: str, doc_key: str, doc_text: str, query_key: str, query_text: str, k: int, dims: int = 256, name: str = "near") -> str:
+    """The same as text for DuckDB; ends with a CTE of the given name (query, doc, score, rank)."""
+    tok = "list_filter(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), lambda p: NOT contains(p, ' '))"
+    clean = lambda c: f"regexp_replace(lower(coalesce({c}, '')), '[^0-9a-z一-鿿]+', ' ', 'g')"
+    part = lambda at, key, text, of: (
+        f"{name}{at}0 AS (SELECT id, (('0x' || left(md5(token), 6))::BIGINT % {dims})::INT AS bucket, count(*) AS n FROM (SELECT id, unnest({tok}) AS token FROM (SELECT {key} AS id, {clean(text)} AS t FROM {of})) GROUP BY ALL), "
+        f"{name}{at} AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id))::DOUBLE AS x FROM {name}{at}0)"
+    )
+    return (
+        f"{part('d', doc_key, doc_text, docs)}, {part('q', query_key, query_text, queries)}, {name}s AS (SELECT q.id AS query, d.id AS doc, round(sum(q.x * d.x), 6) AS score FROM {name}q q JOIN {name}d d USING (bucket) GROUP BY ALL), "
+        f"{name} AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM {name}s QUALIFY rank <= {k})"
+    )

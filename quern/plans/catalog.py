@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ..operators import bm25
-from . import measures, more, searches, texts
+from . import knowledge, measures, more, searches, texts
 from .common import table
 
-_MODULES = (texts, searches, measures, more)
+_MODULES = (texts, searches, measures, more, knowledge)
 
 
 def flagship(spark, sf_dir: str):

@@ -31,7 +31,7 @@ def _derived(s, d):
 
 def _phrases(s, d):
     """The phrase is found once and bound, so the levels do not repeat its search."""
-    x = table(s, d, "documents").where("text is not null").select("doc_id", "text", P.key_phrase(F.col("text"), _TERMS, _DOMAIN).alias("phrase"))
+    x = table(s, d, "documents").where("text is not null").select("doc_id", "text", P.key_phrase(F.col("text"), _TERMS, _DOMAIN, (L.HERBS[:30], L.ORGANS, L.SYMPTOMS[:20])).alias("phrase"))
     levels = [(T.first_word(P.first_sentences(F.col("text")), L.HERBS, None), _LEVELS[0]), (T.first_word(P.first_sentences(F.col("text")), L.ORGANS, None), _LEVELS[1]), (F.col("phrase"), _LEVELS[2])]
     return x.select("doc_id", "phrase", P.instruction_by_level(F.col("text"), levels, _DEFAULT).alias("instruction"))
 

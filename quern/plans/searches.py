@@ -13,6 +13,7 @@ from .common import lit, table
 
 _EVAL = "eval_rigor_results_v1_pre_guard"
 _NAME = "[一-鿿]{2}[汤散丸饮煎]"
+LEXICONS = rag.Lexicons(L.HERBS, (*L.OUT_OF_SCOPE, *L.OUTSIDE_HERE), L.CONCEPT_TABLE, L.QUESTION_WORDS, L.SYMPTOMS, L.COLLOQUIAL, L.RULES, L.SYMPTOM_VOTES, L.SOFT)
 
 
 def _bm25(s, d, k=5):
@@ -29,7 +30,7 @@ def _named(s, d):
     q = table(s, d, _EVAL).where("id % 100 = 0").select(F.col("id").alias("query"), F.explode(F.array_distinct(F.regexp_extract_all("question", F.lit(_NAME), F.lit(0)))).alias("name"))
     c = table(s, d, "clauses").select(F.col("clause_id").alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all("original_text", F.lit(_NAME), F.lit(0)))).alias("name"))
     hit = q.join(c, "name").select("query", "doc").distinct()
-    return hit.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("doc"))).where("rank <= 20")
+    return hit.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("doc")))
 
 
 def _edges(s, d):
@@ -67,6 +68,17 @@ def _votes(s, d):
     return votes.vote(_cases(s, d), X.lexicon(s, L.VOTES, "symptom string, label string"), ("error",))
 
 
+def _retrieved(s, d):
+    c = table(s, d, "clauses")
+    q = rag.understood(table(s, d, _EVAL).where("id % 100 = 0"), LEXICONS)
+    return rag.retrieved(q, c, rag.formulas_of(c, L.HERBS, L.MERIDIANS), LEXICONS)
+
+
+def _answers(s, d):
+    lectures = table(s, d, "chapters").select(F.col("chapter_id").alias("id"), F.col("pdf_name").alias("book"), F.col("content").alias("text"))
+    return rag.answer_contexts(table(s, d, _EVAL).where("id % 100 = 0"), table(s, d, "clauses"), lectures, LEXICONS, L.MERIDIANS, L.ADVICE)
+
+
 def queries() -> dict:
     t = table
     return {
@@ -76,7 +88,12 @@ def queries() -> dict:
         "rrf_fusion": lambda s, d: fusion.reciprocal_rank([_near(s, d, 10), _near(s, d, 10, "dot")], 60, 5).select("query", "doc", "score", "rank"),
         "prioritized_fill": lambda s, d: fusion.filled([_named(s, d), _bm25(s, d, 10)], 5),
         "hybrid_search": lambda s, d: fusion.reciprocal_rank([_bm25(s, d, 10), _named(s, d)], 60, 5).select("query", "doc", "score", "distance", "rank"),
-        "rag_pipeline": lambda s, d: rag.answer_contexts(t(s, d, _EVAL).where("id % 100 = 0"), t(s, d, "clauses")),
+        "rag_pipeline": _answers,
+        "hybrid_retrieval": _retrieved,
+        "side_channel": lambda s, d: rag.side_channel(rag.understood(t(s, d, _EVAL), LEXICONS), rag.formulas_of(t(s, d, "clauses"), L.HERBS, L.MERIDIANS), LEXICONS),
+        "question_kinds": lambda s, d: rag.understood(t(s, d, _EVAL), LEXICONS).select("query", "status", "kind", "concept", F.array_join("entities", ",").alias("entities"), F.array_join("symptoms", ",").alias("symptoms"), "core", "longer"),
+        "question_votes": lambda s, d: rag.diagnosed(rag.understood(t(s, d, _EVAL), LEXICONS), LEXICONS).select("query", "verdict", "label", "tied", F.array_join("evidence", ",").alias("evidence")),
+        "text_vectors": lambda s, d: vector.text_top_k(t(s, d, "clauses"), t(s, d, _EVAL).where("id % 100 = 0"), "clause_id", "original_text", "id", "question", 5),
         "pk_lookup": lambda s, d: t(s, d, _EVAL).select("id", F.posexplode("retrieved_ids").alias("pos", "clause_id")).join(t(s, d, "clauses").select("clause_id", "chapter", "original_text"), "clause_id"),
         "clause_formula_join": lambda s, d: t(s, d, "clauses").select("clause_id", F.explode(F.array_distinct(F.regexp_extract_all("original_text", F.lit(_NAME), F.lit(0)))).alias("name")).join(t(s, d, "chapters").select("chapter_id", F.regexp_extract("title", r"^\d+ (.+)$", 1).alias("name")).where("name != ''"), "name"),
         "inverted_index": lambda s, d: graph.neighbours(_edges(s, d), "p", "o").select(F.col("key").alias("part"), "n", F.col("list").alias("orders")),
@@ -116,7 +133,7 @@ def oracle_sql() -> dict[str, str]:
     b = lambda k: bm25.sql("clauses", _EVAL, "clause_id", "original_text", "id", "question", k, "id % 100 = 0")
     v = "v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
     name = f"regexp_extract_all(%s, {lit(_NAME)})"
-    named = f"nm AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY doc) AS rank FROM (SELECT DISTINCT query, doc FROM (SELECT id AS query, unnest({name % 'question'}) AS name FROM {_EVAL} WHERE id % 100 = 0) JOIN (SELECT clause_id AS doc, unnest({name % 'original_text'}) AS name FROM clauses) USING (name)) QUALIFY rank <= 20)"
+    named = f"nm AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY doc) AS rank FROM (SELECT DISTINCT query, doc FROM (SELECT id AS query, unnest({name % 'question'}) AS name FROM {_EVAL} WHERE id % 100 = 0) JOIN (SELECT clause_id AS doc, unnest({name % 'original_text'}) AS name FROM clauses) USING (name)))"
     fuse = lambda x, y, k: f"al AS (SELECT query, doc, rank, 0 AS l FROM {x} UNION ALL SELECT query, doc, rank, 1 FROM {y}), fu AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS sc, min(l * 1000000 + rank) AS f FROM al GROUP BY ALL), rr AS (SELECT query, doc, round(sc, 6) AS score, round(1 - sc / max(sc) OVER (PARTITION BY query), 6) AS distance, row_number() OVER (PARTITION BY query ORDER BY sc DESC, f, doc) AS rank FROM fu QUALIFY rank <= {k})"
     text = "array_to_string(list_sort(%s), ',')"
     q = ", ".join(f"({i}, {lit(x)}, {lit(y)})" for i, x, y in L.QUESTIONS)

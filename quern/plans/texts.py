@@ -29,12 +29,6 @@ def _judge_text():
 
 
 def _sse():
-    esc = F.to_json(F.struct(F.lit("chunk").alias("type"), F.left(F.col("answer"), F.lit(10)).alias("content")))
-    esc2 = F.to_json(F.struct(F.lit("chunk").alias("type"), F.substring("answer", 11, 10).alias("content")))
-    return F.concat(F.lit("data: "), esc, F.lit("\n\ndata: "), esc2, F.lit('\n\ndata: {"type":"done","latency":'), F.format_string("%.2f", "wall"), F.lit("}\n\n"))
-
-
-def _sse_whole():
     """The body of a stream that sends the whole answer, ten code points a chunk."""
     last = F.greatest(F.ceil(F.length("answer") / 10).cast("int") - 1, F.lit(0))
     chunk = lambda i: F.concat(F.lit("data: "), F.to_json(F.struct(F.lit("chunk").alias("type"), F.substring(F.col("answer"), i * 10 + 1, F.lit(10)).alias("content"))), F.lit("\n\n"))
@@ -68,14 +62,12 @@ def queries() -> dict:
         "chinese_numbers": lambda s, d: t(s, d, "clauses").select("clause_id", T.chinese_number(F.col("clause_id")).alias("name")),
         "html_to_text": lambda s, d: t(s, d, "pages").select("page_id", T.html_text(F.concat(F.lit("<html><head><style>p{}</style><script>var a=1;</script></head><body><!-- x --><div>menu</div><p>"), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p></body></html>"))).alias("text")),
         "sanitize_doses": lambda s, d: t(s, d, "sft_samples").where("output is not null").select("sample_id", G.masked_doses(F.col("output")).alias("output")),
-        "input_guard": lambda s, d: t(s, d, _EVAL).select("id", F.coalesce(G.input_guard(F.concat("question", F.when(F.col("id") % 5 == 0, "剂量").when(F.col("id") % 7 == 0, "突然昏迷").otherwise(""))), F.lit("pass")).alias("guard"), G.question_ok(F.col("question")).alias("ok")),
-        "out_of_scope": lambda s, d: t(s, d, _EVAL).select("id", F.col("question").rlike(T.one_of(L.OUT_OF_SCOPE)).alias("outside")),
-        "citation_check": lambda s, d: t(s, d, _EVAL).select("id", G.checked_citations(_clauses_cited(F.left("answer", F.lit(40))), F.coalesce("retrieved_ids", F.array().cast("array<bigint>"))).alias("answer")),
-        "citation_check_whole": lambda s, d: t(s, d, _EVAL).select("id", G.checked_citations(_clauses_cited(F.col("answer")), F.coalesce("retrieved_ids", F.array().cast("array<bigint>"))).alias("answer")),
+        "input_guard": lambda s, d: t(s, d, _EVAL).select("id", F.coalesce(G.input_guard(F.concat("question", F.when(F.col("id") % 5 == 0, "剂量").when(F.col("id") % 7 == 0, "突然昏迷不醒").otherwise(""))), F.lit("pass")).alias("guard"), G.question_ok(F.col("question")).alias("ok")),
+        "out_of_scope": lambda s, d: t(s, d, _EVAL).select("id", F.col("question").rlike(T.one_of((*L.OUT_OF_SCOPE, *L.OUTSIDE_HERE))).alias("outside")),
+        "citation_check": lambda s, d: t(s, d, _EVAL).select("id", G.checked_citations(_clauses_cited(F.col("answer")), F.coalesce("retrieved_ids", F.array().cast("array<bigint>"))).alias("answer")),
         "safety_notices": lambda s, d: t(s, d, "sft_samples").where("output is not null").select("sample_id", G.with_notices(F.col("output"), _NOTICE, _URGENT).alias("output")),
         "judge_parse": lambda s, d: t(s, d, _EVAL).where("wall is not null").select("id", F.round(G.judge_score(_judge_text()), 6).alias("score"), G.judge_reason(_judge_text()).alias("reason")),
         "sse_parse": lambda s, d: t(s, d, _EVAL).where("wall is not null and answer is not null").select("id", G.sse_answer(_sse()).alias("answer"), F.round(G.sse_latency(_sse()), 2).alias("latency")),
-        "sse_parse_whole": lambda s, d: t(s, d, _EVAL).where("wall is not null and answer is not null").select("id", G.sse_answer(_sse_whole()).alias("answer"), F.round(G.sse_latency(_sse_whole()), 2).alias("latency")),
         "query_route": lambda s, d: t(s, d, _EVAL).select("id", R.route(F.col("question"), R.names_in(F.col("question"), _NAME), L.HERBS).alias("route"), F.array_join(R.names_in(F.col("question"), _NAME), ",").alias("names")),
         "query_rewrite": lambda s, d: t(s, d, _EVAL).select("id", R.rewritten(F.col("question")).alias("rewritten")),
         "query_expand": lambda s, d: t(s, d, _EVAL).select("id", X.expand(F.col("question"), L.COLLOQUIAL).alias("expanded")),
@@ -146,9 +138,11 @@ def _route() -> str:
 
 
 def _cited() -> str:
-    text = "coalesce(left(answer, 40), '') || '【第' || (id % 7) || '条】见第' || (id % 600) || '条。'"
-    ok = lambda n: f"(coalesce(len(retrieved_ids), 0) = 0 OR list_contains(retrieved_ids, {n}))"
-    return f"SELECT id, CASE WHEN coalesce(len(retrieved_ids), 0) = 0 THEN {text} ELSE coalesce(left(answer, 40), '') || CASE WHEN {ok('id % 7')} THEN '【第' || (id % 7) || '条】' ELSE '' END || '见' || CASE WHEN {ok('id % 600')} THEN '第' || (id % 600) || '条' ELSE '' END || '。' END AS answer FROM {_EVAL}"
+    text = "coalesce(answer, '') || '【第' || (id % 7) || '条】见第' || (id % 600) || '条。'"
+    numbers = "list_distinct(regexp_extract_all(t, '第\\s*(\\d+)\\s*条', 1))"
+    wrong = f"list_filter({numbers}, lambda n: NOT list_contains(list_transform(v, lambda x: x::VARCHAR), regexp_replace(n, '^0+(.)', '\\1')))"
+    fixed = "list_reduce(list_concat([t], w), lambda a, n: regexp_replace(regexp_replace(a, '[【\\[]\\s*第\\s*' || n || '\\s*条\\s*[】\\]]', '', 'g'), '第\\s*' || n || '\\s*条', '', 'g'))"
+    return f"WITH a AS (SELECT id, coalesce(retrieved_ids, []) AS v, {text} AS t FROM {_EVAL}), b AS (SELECT id, v, t, {wrong} AS w FROM a) SELECT id, CASE WHEN len(v) > 0 AND len(w) > 0 THEN {fixed} ELSE t END AS answer FROM b"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -183,13 +177,13 @@ def oracle_sql() -> dict[str, str]:
         "cjk_keywords": "WITH r AS (SELECT clause_id, regexp_extract_all(original_text, '[一-鿿]{2,}') AS r FROM clauses) SELECT clause_id, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), '|') AS words FROM r",
         "bigram_tokens": "WITH c AS (SELECT regexp_replace(lower(original_text), '[^0-9a-z一-鿿]+', ' ', 'g') AS t FROM clauses) SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), lambda p: NOT contains(p, ' '))) AS token FROM c) GROUP BY 1",
         "html_to_text": "WITH p AS (SELECT page_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '" + edges + "', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)copyright|login|menu|nav')) AS l FROM pages) SELECT page_id, array_to_string(l, chr(10)) AS text FROM p",
-        "sanitize_doses": f"WITH m AS (SELECT sample_id, regexp_replace(output, {lit(G.DOSE)}, '〔剂量从略〕', 'g') AS m FROM sft_samples WHERE output IS NOT NULL) SELECT sample_id, CASE WHEN regexp_matches(m, {lit(G.COOKING)}) THEN regexp_split_to_array(m, {lit(G.COOKING)})[1] || '（煎服方法从略）' ELSE m END AS output FROM m",
-        "input_guard": f"WITH q AS (SELECT id, question, question || CASE WHEN id % 5 = 0 THEN '剂量' WHEN id % 7 = 0 THEN '突然昏迷' ELSE '' END AS t FROM {_EVAL}) SELECT id, CASE WHEN regexp_matches(t, {lit(G.DOSE_QUESTION)}) THEN 'dose' WHEN regexp_matches(t, {lit(G.EMERGENCY)}) THEN 'emergency' ELSE 'pass' END AS guard, length(question) <= 500 AND trim(question) <> '' AS ok FROM q",
-        "out_of_scope": f"SELECT id, regexp_matches(question, {lit(T.one_of(L.OUT_OF_SCOPE))}) AS outside FROM {_EVAL}",
+        "sanitize_doses": f"WITH m AS (SELECT sample_id, regexp_replace(output, {lit(G.DOSE_MENTION)}, '〔剂量从略〕', 'g') AS m FROM sft_samples WHERE output IS NOT NULL) SELECT sample_id, CASE WHEN regexp_matches(m, {lit(G.COOKING)}) THEN regexp_split_to_array(m, {lit(G.COOKING)})[1] || '（煎服方法从略）' ELSE m END AS output FROM m",
+        "input_guard": f"WITH q AS (SELECT id, question, question || CASE WHEN id % 5 = 0 THEN '剂量' WHEN id % 7 = 0 THEN '突然昏迷不醒' ELSE '' END AS t FROM {_EVAL}) SELECT id, CASE WHEN regexp_matches(t, {lit(G.DOSE_QUESTION)}) THEN 'dose' WHEN regexp_matches(t, {lit(G.EMERGENCY_QUESTION)}) THEN 'emergency' ELSE 'pass' END AS guard, length(question) <= 500 AND trim(question) <> '' AS ok FROM q",
+        "out_of_scope": f"SELECT id, regexp_matches(question, {lit(T.one_of((*L.OUT_OF_SCOPE, *L.OUTSIDE_HERE)))}) AS outside FROM {_EVAL}",
         "citation_check": _cited(),
         "safety_notices": f"SELECT sample_id, output || CASE WHEN regexp_matches(output, {lit(G.DOSE + '|' + G.DOSE_WORDS)}) AND NOT contains(output, {lit(_NOTICE)}) THEN {lit(_NOTICE)} ELSE '' END || CASE WHEN regexp_matches(output, {lit(G.EMERGENCY)}) AND NOT contains(output, {lit(_URGENT)}) THEN {lit(_URGENT)} ELSE '' END AS output FROM sft_samples WHERE output IS NOT NULL",
         "judge_parse": f"WITH w AS (SELECT id, focus, floor(wall)::BIGINT::VARCHAR AS s FROM {_EVAL} WHERE wall IS NOT NULL) SELECT id, round(CASE id % 4 WHEN 0 THEN least(5.0, s::DOUBLE) WHEN 1 THEN s::DOUBLE WHEN 2 THEN least(5.0, s::DOUBLE) ELSE 0.0 END, 6)::DOUBLE AS score, CASE id % 4 WHEN 0 THEN '依据充分' WHEN 1 THEN s || ' / 5' WHEN 2 THEN s || ' 分' ELSE focus END AS reason FROM w",
-        "sse_parse": f"SELECT id, left(answer, 20) AS answer, round(format('{{:.2f}}', wall)::DOUBLE, 2) AS latency FROM {_EVAL} WHERE wall IS NOT NULL AND answer IS NOT NULL",
+        "sse_parse": f"SELECT id, answer, round(format('{{:.2f}}', wall)::DOUBLE, 2) AS latency FROM {_EVAL} WHERE wall IS NOT NULL AND answer IS NOT NULL",
         "query_route": _route(),
         "query_rewrite": f"SELECT id, coalesce(nullif(regexp_replace({cut_words('question', R.QUESTION)}, '^[{R.PUNCTUATION}]+|[{R.PUNCTUATION}]+$', '', 'g'), ''), question) AS rewritten FROM {_EVAL}",
         "query_expand": f"SELECT id, {_expanded()} AS expanded FROM {_EVAL}",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import html_text
+from ..operators.vector import text_top_k
 
 # Schemas of the record kinds; every one may be read from and written to JSON lines or parquet.
 CLAUSES = "clause_id bigint, clause_id_cn string, chapter string, original_text string"
@@ -26,9 +27,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.select(F.from_json("value", schema).alias("r")).where("r is not null").select("r.*")
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON object per row, UTF-8, null fields left out; mode append adds files."""
+def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", count_by: str | None = None) -> DataFrame | None:
+    """One JSON object per row, UTF-8, null fields left out; mode append adds files.
+
+    With ``count_by`` the rows of each value of that column, as they are in the files, come back."""
     df.write.mode(mode).json(path)
+    return df.sparkSession.read.schema(df.schema).json(path).groupBy(count_by).agg(F.count(F.lit(1)).alias("n")) if count_by else None
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -37,11 +41,19 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (r.schema(schema) if schema else r).json(path)
 
 
+_NODES, _LINKS = "array<struct<id:string,type:string>>", "array<struct<source:string,target:string,relation:string,change:string>>"
+#: Edges that a graph written as one JSON document may have.
+MOST_JSON_EDGES = 1_000_000
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges) of a node-link JSON document."""
-    doc = read_json(spark, path, "nodes array<struct<id:string,type:string>>, links array<struct<source:string,target:string,relation:string>>")
+    """(vertices, edges) of a node-link JSON document, or of the two tables that write_graph left."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/edges")
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges")
+    doc = read_json(spark, path, f"nodes {_NODES}, links {_LINKS}")
     v = doc.select(F.explode("nodes").alias("n")).select("n.*")
-    return v, doc.select(F.explode("links").alias("l")).select(F.col("l.source").alias("src"), F.col("l.target").alias("dst"), "l.relation")
+    return v, doc.select(F.explode("links").alias("l")).select(F.col("l.source").alias("src"), F.col("l.target").alias("dst"), "l.relation", "l.change")
 
 
 def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
@@ -50,6 +62,16 @@ def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
+def write_graph_json(vertices: DataFrame, edges: DataFrame, path: str) -> None:
+    """The same as one node-link JSON document, for graphs of at most MOST_JSON_EDGES edges; others raise."""
+    if edges.limit(MOST_JSON_EDGES + 1).count() > MOST_JSON_EDGES or vertices.limit(2 * MOST_JSON_EDGES + 1).count() > 2 * MOST_JSON_EDGES:
+        raise ValueError("too many edges or vertices for one document; use write_graph")
+    change = F.col("change") if "change" in edges.columns else F.lit(None).cast("string")
+    nodes = vertices.agg(F.sort_array(F.collect_list(F.struct("id", "type"))).alias("nodes"))
+    links = edges.agg(F.sort_array(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "relation", change.alias("change")))).alias("links"))
+    nodes.join(links, F.lit(True)).write.mode("overwrite").json(path)
+
+
 def read_html(spark: SparkSession, path: str, drop: Iterable[str] = ("nav", "menu", "login", "copyright")) -> DataFrame:
     """(path, text) of the HTML files in a folder."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
@@ -83,25 +105,52 @@ def joined_pages(pages: DataFrame, text: str = "text") -> DataFrame:
     return full.select("pdf_name", F.array_join(F.transform("p", lambda x: x[text]), "\n\n").alias("text"))
 
 
-def build_vector_store(df: DataFrame, path: str, id_prefix: str, key: str, text: str, metadata: list[str], embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> int:
-    """Write (id, text, metadata, embedding), replacing what was there; the number of rows.
-
-    The embedder is the caller's, called with lists of texts; an empty table is an error."""
-    rows = df.select(F.concat(F.lit(id_prefix), F.col(key).cast("string")).alias("id"), F.col(text).alias("text"), F.create_map(*[x for m in metadata for x in (F.lit(m), F.col(m).cast("string"))]).alias("metadata"))
-    if rows.isEmpty():
-        raise ValueError("nothing to index")
+def embedded(df: DataFrame, text: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
+    """df with a column ``embedding``: vectors of unit length from the caller's embedder, called with lists of at
+    most ``batch`` texts, none of them null."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(s: pd.Series) -> pd.Series:
         out = []
         for i in range(0, len(s), batch):
-            out += embed(s.iloc[i : i + batch].tolist())
+            for v in embed(s.iloc[i : i + batch].fillna("").tolist()):
+                n = sum(float(x) * float(x) for x in v) ** 0.5
+                out.append([float(x) / n if n else 0.0 for x in v])
         return pd.Series(out)
 
-    rows.withColumn("embedding", vectors("text")).write.mode("overwrite").parquet(path)
+    return df.withColumn("embedding", vectors(text))
+
+
+def build_vector_store(df: DataFrame, path: str, id_prefix: str, key: str, text: str, metadata: list[str], embed: Callable[[list[str]], list[list[float]]], batch: int = 32) -> int:
+    """Write (id, text, metadata, embedding), replacing what was there; the number of rows.
+
+    An empty table is an error."""
+    rows = df.select(F.concat(F.lit(id_prefix), F.col(key).cast("string")).alias("id"), F.col(text).alias("text"), F.create_map(*[x for m in metadata for x in (F.lit(m), F.col(m).cast("string"))]).alias("metadata"))
+    if rows.isEmpty():
+        raise ValueError("nothing to index")
+    embedded(rows, "text", embed, batch).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path).count()
 
 
+def build_lecture_store(df: DataFrame, path: str, key: str, embed: Callable[[list[str]], list[list[float]]], text: str = "output", batch: int = 32) -> int:
+    """The store of lectures (instruction, book, source, text): ids are lect_ and the key, the topic is the first 40
+    characters of the instruction, and a missing source is "lecture"."""
+    rows = df.select(F.col(key), F.col(text).alias("text"), F.coalesce("book", F.lit("")).alias("book"), F.left(F.coalesce("instruction", F.lit("")), F.lit(40)).alias("topic"), F.coalesce("source", F.lit("lecture")).alias("source"))
+    return build_vector_store(rows, path, "lect_", key, "text", ["book", "topic", "source"], embed, batch)
+
+
+def probed(spark: SparkSession, path: str, chars: int = 12, k: int = 5) -> str:
+    """Check a store by itself: its first text's first characters must find that text among the k nearest;
+    the id is returned, a miss raises."""
+    store = spark.read.parquet(path).where(F.length("text") > 0)
+    first = store.orderBy("id").select("id", F.left("text", F.lit(chars)).alias("search")).limit(1)
+    hits = text_top_k(store, first, "id", "text", "id", "search", k)
+    want = first.first()
+    if want is None or want["id"] not in {r["doc"] for r in hits.select("doc").collect()}:
+        raise RuntimeError(f"the store {path} does not find its own first text")
+    return want["id"]
+
+
 def report_json(df: DataFrame) -> DataFrame:
     """Rows as JSON strings, for small reports."""
     return df.select(F.to_json(F.struct("*")).alias("report"))

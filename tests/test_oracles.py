@@ -39,4 +39,4 @@ def test_same_rows(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= (name != "rag_pipeline")
+    assert QUERIES[name](spark, sf).count() >= (name not in ("rag_pipeline", "hybrid_retrieval"))

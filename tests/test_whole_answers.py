@@ -21,7 +21,7 @@ def answers(spark, tmp_path_factory):
 
 def test_citations_of_whole_answers(spark, answers):
     d, rows = answers
-    got = {r["id"]: r["answer"] for r in Q["citation_check_whole"](spark, d).collect()}
+    got = {r["id"]: r["answer"] for r in Q["citation_check"](spark, d).collect()}
     for i, a, ids, _ in rows:
         full = f"{a or ''}【第{i % 7}条】见第{i % 600}条。"
         assert got[i] == (REF.sub(lambda m: m[0] if int(m[1] or m[2]) in ids else "", full) if ids else full)
@@ -29,5 +29,5 @@ def test_citations_of_whole_answers(spark, answers):
 
 def test_streams_of_whole_answers(spark, answers):
     d, rows = answers
-    got = {r["id"]: (r["answer"], r["latency"]) for r in Q["sse_parse_whole"](spark, d).collect()}
+    got = {r["id"]: (r["answer"], r["latency"]) for r in Q["sse_parse"](spark, d).collect()}
     assert got == {i: (a, w) for i, a, _, w in rows if a is not None}

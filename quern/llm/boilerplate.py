@@ -14,8 +14,11 @@ from . import common as C
 from . import kernels as K
 
 #: A chunk ends after a window of WINDOW characters whose rolling hash has its CUT_BITS low bits zero.
-WINDOW, CUT_BITS = 4, 4
-_CHUNK = pa.schema([("src", pa.int64()), ("chunk", pa.int64()), ("line", pa.int64()), ("page", pa.int64()), ("at", pa.int64()), ("parts", pa.int32())])
+WINDOW, CUT_BITS = 3, 3
+#: Bits of the map of repeated chunks (4 MB), and parts over which the places of one line are spread.
+MAP_BITS, SALT = 1 << 25, 16
+_CHUNK = pa.schema([("src", pa.int64()), ("chunk", pa.int64()), ("n", pa.int64())])
+_LINE = pa.schema([("src", pa.int64()), ("line", pa.int64()), ("page", pa.int64()), ("at", pa.int64())])
 
 
 @lru_cache(maxsize=1)
@@ -77,57 +80,78 @@ def _lines(col: pa.Array):
 
 
 def _chunks(b: pa.RecordBatch, least: int):
+    """Lines of a batch and the chunks that testify for them: (row, number and hash of each line, whether it
+    has enough letters, (source, chunk) key and line of each chunk).
+
+    A page is cut as one stream; line feeds do not count, so chunks may span them.  A chunk belongs to a
+    line if the line alone makes it: it lies within, and so does the window that ended the one before.
+    A line that makes no chunk is one itself."""
     cp, line, rows, number, total = _lines(b.column("text"))
     size = np.bincount(line, minlength=total)
-    letters = np.bincount(line, weights=K.letter_table()[cp], minlength=total)
+    ok = np.bincount(line, weights=K.letter_table()[cp], minlength=total) >= least
     starts = np.append(0, np.cumsum(size))
     pre = K.prefix_hash(cp)
     whole = K.segment_hash(pre, starts[:-1], starts[1:])
-    ok = letters >= least
-    # one entry per (row, line text): a line twice on a page stands on one page
-    end = np.zeros(len(cp), dtype=bool)
     roll = K.window_hash(pre, WINDOW)
-    end[WINDOW - 1 :] = ((roll & np.uint64((1 << CUT_BITS) - 1)) == 0) & K.inside(starts, WINDOW, len(roll)) if len(cp) >= WINDOW else False
-    last = starts[1:][size > 0] - 1
-    end[last] = True
-    stop = np.flatnonzero(end) + 1
-    begin = np.append(0, stop[:-1])
-    of = line[stop - 1]
-    use = ok[of]
-    begin, stop, of = begin[use], stop[use], of[use]
-    parts = np.bincount(of, minlength=total)[of]
-    chunk = K.segment_hash(pre, begin, stop)
-    src, page = b.column("src").to_numpy(), b.column("page").to_numpy()
-    r = rows[of]
-    return K.table(_CHUNK, src[r], K.signed(chunk), K.signed(whole[of]), page[r], number[of].astype(np.int64), parts.astype(np.int32))
+    end = np.flatnonzero((roll & np.uint64((1 << CUT_BITS) - 1)) == 0) + WINDOW
+    begin, stop = end[:-1], end[1:]
+    of = line[begin - WINDOW] if len(begin) else np.zeros(0, dtype=np.int64)
+    within = (of == line[stop - 1]) & ok[of] if len(begin) else np.zeros(0, dtype=bool)
+    begin, stop, of = begin[within], stop[within], of[within]
+    bare = np.flatnonzero(ok & (np.bincount(of, minlength=total) == 0))
+    chunk = np.concatenate([K.segment_hash(pre, begin, stop), whole[bare]])
+    of = np.concatenate([of, bare])
+    src = b.column("src").to_numpy()[rows].view(np.uint64)
+    return rows, number, whole, ok, K.mix(chunk + K.mix(src[of])), of
 
 
 def repeated_lines(df: DataFrame, id_col: str = "page_id", source: str = "pdf_name", text: str = "text", min_rows: int = 4, min_share: float = 0.20, least: int = 6) -> DataFrame:
     """(page, at, src, line): places of lines that stand on many rows of their source; line is a hash of
     what makes lines the same.
 
-    Method: every line, in compatibility form without blanks and digits, is cut into content-defined
-    chunks at places that a rolling hash chooses.  Distinct rows are counted per source and chunk;
-    a line may only be repeated if all its chunks are, so the lines left are few, and these are
-    counted whole.  Counts are combined before the shuffle and keyed by (source, chunk), so a source
-    holding a third of all rows is spread over many keys; the rows of a source are counted apart.
-    Null sources are one source; null texts have no lines; rows with a null id are left out; an
-    empty table gives no rows; other columns are ignored.
+    Method: every page, in compatibility form without blanks and digits, is cut into content-defined
+    chunks at places that a rolling hash chooses, instead of at line feeds.  Distinct rows are counted
+    per source and chunk, combined per batch before the shuffle; repeated chunks go into a bit map of
+    fixed size, which every task gets.  A line is cut out if all chunks that testify for it are
+    repeated; as the result is asked by line, its exact number of distinct rows is counted last, over
+    these few lines only (the map may let others pass, never lose one).  Keys are (source, chunk) and
+    (source, line), the latter salted, so a source holding a third of all rows is spread.
+    Null sources are one source; null texts have no lines; rows with a null id are left out; repeated
+    rows count once; an empty table gives no rows; other columns are ignored.
     """
     base = df.select(C.column(df, id_col, "long").alias("page"), F.xxhash64(F.coalesce(C.column(df, source, "string"), F.lit("\x00"))).alias("src"), C.column(df, text, "string").alias("text")).where("page is not null")
     base = C.spread(base)
-    rows = base.groupBy("src").agg(F.greatest(F.ceil(F.count(F.lit(1)) * F.lit(min_share) - F.lit(1e-9)), F.lit(min_rows)).alias("need"))
+    rows = base.groupBy("src").agg(F.greatest(F.ceil(F.count_distinct("page") * F.lit(min_share) - F.lit(1e-9)), F.lit(min_rows)).alias("need"))
+    filled = base.where("text is not null")
+
+    def count(b: pa.RecordBatch):
+        row, _, _, _, key, of = _chunks(b, least)
+        page = b.column("page").to_numpy()[row[of]].view(np.uint64)
+        _, once = np.unique(K.mix(key ^ K.mix(page)), return_index=True)
+        key, of = key[once], of[once]
+        _, at, n = np.unique(key, return_index=True, return_counts=True)
+        yield K.table(_CHUNK, b.column("src").to_numpy()[row[of[at]]], K.signed(key[at]), n.astype(np.int64))
+
+    chunks = C.map_rows(filled, ["text"], count, _CHUNK).groupBy("src", "chunk").agg(F.sum("n").alias("n")).where(f"n >= {min_rows}")
+    place = F.pmod("chunk", F.lit(MAP_BITS))
+    often = chunks.join(rows, "src").where("n >= need").select(F.shiftright(place, 15).alias("part"), place.bitwiseAND(32767).alias("bit"))
+    bits = np.zeros(MAP_BITS // 8, dtype=np.uint8)
+    for r in often.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # MAP_BITS / 32768 rows at most
+        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    known = df.sparkSession.sparkContext.broadcast(bits)
 
     def cut(b: pa.RecordBatch):
-        yield _chunks(b, least)
-
-    chunks = C.map_rows(base.where("text is not null"), ["text"], cut, _CHUNK)
-    often = chunks.groupBy("src", "chunk").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {min_rows}").join(rows, "src").where("n >= need").select("src", "chunk")
-    kept = chunks.join(often, ["src", "chunk"], "left_semi")
-    lines = kept.groupBy("src", "line", "page", "at").agg(F.count(F.lit(1)).alias("have"), F.max("parts").alias("parts")).where("have = parts")
-    lines = C.cut(lines.select("src", "line", "page", "at"))
-    whole = lines.groupBy("src", "line").agg(F.countDistinct("page").alias("n")).join(rows, "src").where("n >= need").select("src", "line")
-    return lines.join(whole, ["src", "line"], "left_semi").select("page", "at", "src", "line")
+        row, number, whole, ok, key, of = _chunks(b, least)
+        at = np.mod(K.signed(key), MAP_BITS)
+        seen = (known.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        keep = np.flatnonzero(ok & (np.bincount(of, weights=1 - seen, minlength=len(ok)) == 0))
+        r = row[keep]
+        yield K.table(_LINE, b.column("src").to_numpy()[r], K.signed(whole[keep]), b.column("page").to_numpy()[r], number[keep].astype(np.int64))
+
+    lines = C.cut(C.map_rows(filled, ["text"], cut, _LINE))
+    whole = lines.groupBy("src", "line").agg(F.countDistinct("page").alias("n")).join(rows, "src").where("n >= need").select("src", "line", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    dealt = lines.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALT)).cast("int"))
+    return dealt.join(whole, ["src", "line", "salt"], "left_semi").select("page", "at", "src", "line")
 
 
 def found(df: DataFrame) -> DataFrame:

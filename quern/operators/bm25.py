@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams
+from ..session import cut
 
 
 def postings(docs: DataFrame, key: str, text: str, tokenize: Callable[[Column], Column] = bigrams) -> DataFrame:
@@ -27,10 +28,9 @@ def top_k(
     as often as they occur.  Ranks are by score rounded to 6 digits, then by document; scores of zero
     or less are dropped after the cut.  Only postings of terms that some query has are joined, and
     the window keeps k rows per partition before it shuffles (WindowGroupLimit)."""
-    post = postings(docs, doc_key, doc_text, tokenize)
+    post = cut(postings(docs, doc_key, doc_text, tokenize))  # tokenised once
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    sizes = docs.select(F.size(tokenize(F.coalesce(F.col(doc_text), F.lit("")))).alias("dl"))
-    stats = n_docs.crossJoin(sizes.agg(F.avg("dl").alias("avgdl")))  # one row
+    stats = n_docs.crossJoin(post.agg(F.sum("tf").alias("tokens"))).select("n", (F.coalesce("tokens", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl"))  # one row
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))
     idf = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))  # one row

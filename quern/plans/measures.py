@@ -99,7 +99,8 @@ def queries() -> dict:
         "sample_families": lambda s, d: samples.families(t(s, d, "chapters").select("chapter_id", F.nullif(F.regexp_extract("title", r"^\d+ (.+)$", 1), F.lit("")).alias("name"), F.left("content", F.lit(60)).alias("body")), "chapter_id", _TEMPLATES),
         "refine_pipeline": _refined,
         "stream_windows": lambda s, d: events.counted(s, d),
-        "stream_sessions": lambda s, d: events.sessions(s, d),
+        "stream_closed": lambda s, d: events.closed(s, d),
+        "stream_sessions": lambda s, d: events.sessions(s, d).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n"),
     }
 
 
@@ -143,5 +144,7 @@ def oracle_sql() -> dict[str, str]:
         "loss_mask": f"WITH c AS (SELECT sample_id, {clean('instruction || output')} AS t, {clean('instruction')} AS u FROM sft_samples WHERE output IS NOT NULL), i AS (SELECT sample_id, list_transform({tok('t')}, lambda p: length(p) + unicode(p))[1:384] AS ids, len({tok('u')}) AS pre FROM c), m AS (SELECT sample_id, ids, least(pre, len(ids)) AS p FROM i) SELECT sample_id, len(ids)::INT AS n, p::INT AS masked, (coalesce(list_sum(ids[p + 1:]), 0) - 100 * p)::BIGINT AS total FROM m WHERE len(ids) > 10",
         "prompt_build": f"WITH p AS (SELECT id, question, route_type, list_transform(coalesce(retrieved_texts, []), lambda x, i: '[' || i || '] ' || x) AS l FROM {_EVAL}) SELECT id, concat_ws(chr(10) || chr(10), CASE WHEN route_type IS NOT NULL THEN '类型：' || route_type END, nullif(array_to_string(l, chr(10)), ''), '问题：' || question) AS prompt FROM p",
         "sample_families": "WITH c AS (SELECT chapter_id, nullif(regexp_extract(title, '^\\d+ (.+)$', 1), '') AS name, left(content, 60) AS body FROM chapters) SELECT chapter_id, '组成' AS category, name || '由哪些药组成？' AS instruction, name || '：' || body AS output FROM c WHERE name IS NOT NULL AND body IS NOT NULL UNION ALL SELECT chapter_id, '出处', name || '出自哪一章？', '第' || chapter_id || '章' FROM c WHERE name IS NOT NULL",
+        "stream_closed": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL",
+        "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM g), r AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTES AS b, count(*) AS n FROM s GROUP BY user_id, part) SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, strftime(b, '%Y-%m-%d %H:%M:%S') AS \"end\", n FROM r WHERE b <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
         "stream_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     }

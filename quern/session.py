@@ -35,9 +35,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where none is set, as in tests."""
+    """The cluster's shared folder, named by spark.checkpoint.dir; a private one only where none is set and
+    the master is local, as in tests.  On a cluster without one there is no place that all see."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or getattr(shared_dir, "own", None) or setattr(shared_dir, "own", tempfile.mkdtemp(prefix="quern-")) or shared_dir.own).rstrip("/")
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = getattr(shared_dir, "own", None)
+    if own is None:
+        own = shared_dir.own = tempfile.mkdtemp(prefix="quern-")
+    return own
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -106,6 +106,7 @@ def oracle_sql() -> dict[str, str]:
         "derived_from": f"WITH {der} SELECT src AS derived, dst AS base FROM dd",
         "vote_hints": _votes_sql() + f", u AS (SELECT \"case\", unnest(string_split(tied, ',')[1:2]) AS label, generate_subscripts(string_split(tied, ',')[1:2], 1) AS pos FROM vt WHERE status = 'need_clarification'), m AS (SELECT \"case\", symptom, min(pos * 1000 + ord) AS o FROM u JOIN tb USING (label) GROUP BY ALL), r AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY \"case\" ORDER BY o, symptom) <= 6) SELECT \"case\", string_agg(symptom, '、' ORDER BY o, symptom) AS hints FROM r GROUP BY 1",
         "vote_answers": _votes_sql() + f", ev AS (SELECT \"case\", string_agg(symptom, '、' ORDER BY symptom) AS e FROM c GROUP BY 1), ad(label, advice) AS (VALUES {advice}) SELECT \"case\", concat_ws(chr(10) || chr(10), '【方向】' || label || '。依据：' || e, '【建议】' || advice, {lit(_CLOSING)}) AS answer FROM vt JOIN ev USING (\"case\") LEFT JOIN ad USING (label) WHERE status = 'diagnosed'",
+        "vote_round_trip": _votes_sql("again AS (SELECT \"case\", (SELECT arg_max(symptom, ord) FROM tb WHERE tb.label = string_split(vt.tied, ',')[1]) AS symptom FROM vt WHERE status = 'need_clarification')") + " FROM vt2",
         "scenario_accuracy": _votes_sql() + ", n AS (SELECT \"case\", count(*) AS symptoms FROM c GROUP BY 1) SELECT symptoms, count(*) AS cases, round(avg((status = CASE WHEN symptoms = 1 THEN 'need_clarification' ELSE 'diagnosed' END)::INT), 6) AS accuracy FROM vt JOIN n USING (\"case\") GROUP BY 1",
         "token_stats": f"WITH {sizes} SELECT count(*) AS rows, round(avg(n), 6) AS mean, max(n) AS most, count(*) FILTER (n >= 512) AS at_limit FROM z",
         "batch_padding": f"WITH {sizes} SELECT floor(sample_id / 32.0)::BIGINT AS batch, count(*) AS rows, max(n) AS width, (count(*) * max(n) - sum(n))::BIGINT AS padding FROM z GROUP BY 1",

@@ -118,15 +118,22 @@ def _vec(k: int, metric: str, name: str) -> str:
     return f"{name}0 AS (SELECT a.vec_id AS query, b.vec_id AS doc, round({score}, 6) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), {name} AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM {name}0 QUALIFY rank <= {k})"
 
 
-def _votes_sql() -> str:
+def _votes_sql(again: str | None = None) -> str:
+    """Votes over the cases as CTEs, the last one vt; with a CTE ``again`` of further (case, symptom) rows, once
+    more over all of them, the last one vt2."""
     table_ = ", ".join(f"({i}, {lit(a)}, {lit(b)})" for i, (a, b) in enumerate(L.VOTES))
-    return f"""WITH c AS (SELECT DISTINCT user_id || '/' || strftime(ts, '%Y-%m-%d') AS "case", event_type AS symptom FROM events), tb(ord, symptom, label) AS (VALUES {table_}),
-    sc AS (SELECT "case", label, count(*) AS n, min(ord) AS ord, bool_and(symptom = 'error') AS soft FROM c JOIN tb USING (symptom) GROUP BY ALL),
-    rk AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(n) OVER w, 0) AS second, max(n) OVER (PARTITION BY "case") AS best FROM sc WINDOW w AS (PARTITION BY "case" ORDER BY n DESC, ord)),
-    td AS (SELECT "case", string_agg(label, ',' ORDER BY ord) AS tied FROM rk WHERE n = best GROUP BY 1),
-    led AS (SELECT "case", n >= 2 AND n - second >= 1 AND NOT soft AS clear, label, n, second, tied FROM rk JOIN td USING ("case") WHERE rn = 1),
-    vt AS (SELECT "case", CASE WHEN clear THEN 'diagnosed' ELSE 'need_clarification' END AS status, CASE WHEN clear THEN label END AS label, n AS top, second, CASE WHEN clear THEN '' ELSE tied END AS tied FROM led
-    UNION ALL SELECT DISTINCT "case", 'rejected', NULL, 0, 0, '' FROM c WHERE "case" NOT IN (SELECT "case" FROM led))"""
+
+    def votes(n: str) -> str:
+        return f"""sc{n} AS (SELECT "case", label, count(*) AS n, min(ord) AS ord, bool_and(symptom = 'error') AS soft FROM c{n} JOIN tb USING (symptom) GROUP BY ALL),
+    rk{n} AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(n) OVER w, 0) AS second, max(n) OVER (PARTITION BY "case") AS best FROM sc{n} WINDOW w AS (PARTITION BY "case" ORDER BY n DESC, ord)),
+    td{n} AS (SELECT "case", string_agg(label, ',' ORDER BY ord) AS tied FROM rk{n} WHERE n = best GROUP BY 1),
+    led{n} AS (SELECT "case", n >= 2 AND n - second >= 1 AND NOT soft AS clear, label, n, second, tied FROM rk{n} JOIN td{n} USING ("case") WHERE rn = 1),
+    vt{n} AS (SELECT "case", CASE WHEN clear THEN 'diagnosed' ELSE 'need_clarification' END AS status, CASE WHEN clear THEN label END AS label, n AS top, second, CASE WHEN clear THEN '' ELSE tied END AS tied FROM led{n}
+    UNION ALL SELECT DISTINCT "case", 'rejected', NULL, 0, 0, '' FROM c{n} WHERE "case" NOT IN (SELECT "case" FROM led{n}))"""
+
+    first = f"""WITH c AS (SELECT DISTINCT user_id || '/' || strftime(ts, '%Y-%m-%d') AS "case", event_type AS symptom FROM events), tb(ord, symptom, label) AS (VALUES {table_}),
+    {votes("")}"""
+    return first + (f""", {again}, c2 AS (SELECT "case", symptom FROM c UNION SELECT "case", symptom FROM again), {votes("2")}""" if again else "")
 
 
 def oracle_sql() -> dict[str, str]:

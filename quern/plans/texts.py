@@ -167,6 +167,8 @@ def oracle_sql() -> dict[str, str]:
         "garbage_ratio": "SELECT pdf_name, round(avg(1 - length(regexp_replace(text, '[^一-鿿0-9A-Za-z，。！？、；：]', '', 'g')) / greatest(length(text), 1)::DOUBLE), 6) AS ratio, count(*) AS pages FROM pages GROUP BY 1",
         "opening_fix": f"WITH r AS (SELECT sample_id, output AS o, regexp_matches(output, {rx(opened)}) AS opened, {rest} AS rest FROM sft_samples WHERE output IS NOT NULL) SELECT sample_id, CASE WHEN NOT opened THEN o ELSE rest END AS output FROM r WHERE NOT opened OR length(rest) >= 100",
         "sentence_split": "WITH p AS (SELECT sample_id, regexp_extract_all(output, '[^。！？]*[。！？]|[^。！？]+') AS p FROM sft_samples WHERE output IS NOT NULL) SELECT sample_id, len(p)::INT AS sentences, coalesce(list_max(list_transform(p, lambda x: length(x))), 0)::INT AS longest FROM p",
+        "sentence_chunks": "WITH RECURSIVE p AS (SELECT sample_id, regexp_extract_all(output, '[^。！？\\n]*[。！？\\n]|[^。！？\\n]+') AS p FROM sft_samples WHERE length(output) > 800), r AS (SELECT sample_id, p, 1 AS i, p[1] AS cur, NULL::VARCHAR AS done FROM p UNION ALL SELECT sample_id, p, i + 1, CASE WHEN length(cur) + length(p[i + 1]) > 800 AND cur <> '' THEN p[i + 1] ELSE cur || p[i + 1] END, CASE WHEN length(cur) + length(p[i + 1]) > 800 AND cur <> '' THEN cur END FROM r WHERE i < len(p)), "
+        f"o AS (SELECT sample_id, i, {stripped('done')} AS chunk FROM r WHERE done IS NOT NULL UNION ALL SELECT sample_id, i + 1, {stripped('cur')} FROM r WHERE i = len(p) UNION ALL SELECT sample_id, 0, output FROM sft_samples WHERE length(output) <= 800) SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY i) - 1)::INT AS n, chunk FROM o WHERE length(chunk) >= 200",
         "heading_segment": sections + f"SELECT chapter_id, n::INT AS n, {stripped(f'regexp_extract(p, {lit(chr(94) + _HEAD)}, 0)')} AS title, {stripped('p')} AS content FROM p UNION ALL SELECT chapter_id, 0, '未分类', {stripped('t')} FROM m WHERE NOT contains(x, chr(1)) AND {stripped('t')} <> ''",
         "content_type": f"SELECT clause_id, {_kind('concat_ws(chr(65306), clause_id_cn, original_text)')} AS with_number, {_kind('original_text')} AS kind FROM clauses",
         "instruction": f"SELECT chapter_id, {_instruction('t')} AS instruction, {_instruction('content')} AS body_instruction FROM (SELECT chapter_id, content, concat_ws(chr(10), title, content) AS t FROM chapters WHERE content IS NOT NULL)",

@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -38,13 +39,23 @@ def neighbours(edges: DataFrame, key: str, other: str) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("o")), lambda x: x.cast("string")), ",").alias("list"))
 
 
+#: Members of a group that one part of the pairing join holds on its split side.
+PART = 2_000
+
+
 def pairs_sharing(edges: DataFrame, group: str, member: str, least: int = 2) -> DataFrame:
     """(a, b, n): pairs a < b of members with at least ``least`` groups in common.
 
-    Pairs are made within a group only and combined before the shuffle."""
+    Members of fewer groups are left out first.  Pairs are made within a group only and combined before
+    the shuffle; the members of a large group are dealt to parts, so that no task pairs a whole hub."""
     e = edges.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
-    a, b = e.select("g", F.col("m").alias("a")), e.select("g", F.col("m").alias("b"))
-    return a.join(b, "g").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {least}")
+    enough = e.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where(f"k >= {least}").select("m")
+    e = e.join(enough, "m", "left_semi")
+    parts = F.ceil(F.count(F.lit(1)).over(W.partitionBy("g")) / PART).cast("int")
+    e = e.withColumn("parts", parts)
+    a = e.select("g", F.col("m").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"))
+    b = e.select("g", F.col("m").alias("b"), F.pmod(F.xxhash64("m"), F.col("parts")).cast("int").alias("s"))
+    return a.join(b, ["g", "s"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {least}")
 
 
 def holding_all(edges: DataFrame, wanted: DataFrame, group: str, member: str) -> DataFrame:
@@ -75,17 +86,20 @@ def stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit("vertex").alias("kind"), F.col("type").alias("name"), "n").unionByName(edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("kind"), F.col("relation").alias("name"), "n"))
 
 
-def closure(edges: DataFrame, depth: int) -> DataFrame:
-    """(src, dst, hops): what is reached from each vertex in at most ``depth`` hops, by the fewest.
-
-    Every round joins only what the last one newly reached; a round that reaches nothing ends it."""
-    step = edges.select("src", "dst").distinct()
-    seen = cut(step.withColumn("hops", F.lit(1)))
-    last = seen
-    for n in range(2, depth + 1):
-        more = last.select("src", F.col("dst").alias("mid")).join(step.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        last = cut(more.join(seen, ["src", "dst"], "left_anti").withColumn("hops", F.lit(n)))
-        if last.isEmpty():
-            break
-        seen = cut(seen.unionByName(last))
-    return seen
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(src, dst, hops): all that is reached from each vertex, by the fewest hops; with ``depth`` only what
+    takes no more.
+
+    Paths are joined end to end, so the rounds grow with the logarithm of the longest one; each is cut, and
+    the last finds nothing new.  Cycles end, too: a longer way to what is reached is dropped."""
+    seen = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct().withColumn("hops", F.lit(1)))
+    mark = None
+    while True:
+        now = tuple(seen.agg(F.count(F.lit(1)), F.sum("hops")).first())
+        if now == mark:
+            return seen
+        mark = now
+        ahead = seen.select("src", F.col("dst").alias("mid"), F.col("hops").alias("h")).join(seen.select(F.col("src").alias("mid"), "dst", "hops"), "mid").select("src", "dst", (F.col("h") + F.col("hops")).alias("hops"))
+        if depth is not None:
+            ahead = ahead.where(f"hops <= {depth}")
+        seen = cut(seen.unionByName(ahead).groupBy("src", "dst").agg(F.min("hops").alias("hops")))

@@ -75,7 +75,7 @@ def queries() -> dict:
         "key_phrase": _phrases,
         "pair_samples": _pair_samples,
         "compare_samples": _compare_samples,
-        "derivation_closure": lambda s, d: graph.closure(_derived(s, d), 3),
+        "derivation_closure": lambda s, d: graph.closure(_derived(s, d)),
         "derived_from": lambda s, d: _derived(s, d).select(F.col("src").alias("derived"), F.col("dst").alias("base")),
         "vote_hints": lambda s, d: votes.hints(_votes(s, d), X.lexicon(s, L.VOTES, "symptom string, label string")),
         "vote_round_trip": _answered,
@@ -102,7 +102,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "pair_samples": f"WITH {e}, g AS (SELECT x.p AS a, y.p AS b, x.o AS o FROM e x JOIN e y ON x.o = y.o AND x.p < y.p), h AS (SELECT a, b, array_to_string(list_sort(list(o)), '、') AS l FROM g GROUP BY ALL HAVING count(*) >= 2) SELECT a, b, '同时含有' || a || '和' || b || '的有哪些？' AS instruction, '有：' || l || '。' AS output FROM h",
         "compare_samples": f"WITH {e}, s AS (SELECT o, list(p) AS s FROM e GROUP BY 1), c AS (SELECT x.o AS a, y.o AS b, {text % 'list_filter(x.s, lambda i: list_contains(y.s, i))'} AS c, {text % 'list_filter(x.s, lambda i: NOT list_contains(y.s, i))'} AS f, {text % 'list_filter(y.s, lambda i: NOT list_contains(x.s, i))'} AS g FROM orders JOIN s x ON x.o = o_orderkey JOIN s y ON y.o = o_orderkey + 1 WHERE o_orderkey % 100 = 0) SELECT a, b, concat_ws(chr(10), '共同：' || nullif(c, ''), '前者独有：' || nullif(f, ''), '后者独有：' || nullif(g, '')) AS output FROM c",
-        "derivation_closure": f"WITH {der} SELECT src, dst, 1 AS hops FROM dd UNION ALL SELECT x.src, y.dst, 2 FROM dd x JOIN dd y ON x.dst = y.src UNION ALL SELECT x.src, z.dst, 3 FROM dd x JOIN dd y ON x.dst = y.src JOIN dd z ON y.dst = z.src",
+        "derivation_closure": f"WITH RECURSIVE {der}, r AS (SELECT src, dst, 1 AS hops FROM dd UNION ALL SELECT r.src, dd.dst, hops + 1 FROM r JOIN dd ON r.dst = dd.src) SELECT src, dst, min(hops)::INT AS hops FROM r GROUP BY ALL",
         "derived_from": f"WITH {der} SELECT src AS derived, dst AS base FROM dd",
         "vote_hints": _votes_sql() + f", u AS (SELECT \"case\", unnest(string_split(tied, ',')[1:2]) AS label, generate_subscripts(string_split(tied, ',')[1:2], 1) AS pos FROM vt WHERE status = 'need_clarification'), m AS (SELECT \"case\", symptom, min(pos * 1000 + ord) AS o FROM u JOIN tb USING (label) GROUP BY ALL), r AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY \"case\" ORDER BY o, symptom) <= 6) SELECT \"case\", string_agg(symptom, '、' ORDER BY o, symptom) AS hints FROM r GROUP BY 1",
         "vote_answers": _votes_sql() + f", ev AS (SELECT \"case\", string_agg(symptom, '、' ORDER BY symptom) AS e FROM c GROUP BY 1), ad(label, advice) AS (VALUES {advice}) SELECT \"case\", concat_ws(chr(10) || chr(10), '【方向】' || label || '。依据：' || e, '【建议】' || advice, {lit(_CLOSING)}) AS answer FROM vt JOIN ev USING (\"case\") LEFT JOIN ad USING (label) WHERE status = 'diagnosed'",

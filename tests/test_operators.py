@@ -115,3 +115,17 @@ def test_documents(spark, tmp_path):
     assert [(r["pdf_name"], r["number"], r["text"]) for r in got] == [("a.pdf", 1, "one"), ("a.pdf", 2, "two")]
     with pytest.raises(FileNotFoundError):
         files.read_documents(spark, str(tmp_path), bytes.split, "*.none")
+
+
+def test_closure_of_chains_and_cycles(spark):
+    chain = [(i, i + 1) for i in range(20)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3)]
+    got = {(r["src"], r["dst"]): r["hops"] for r in graph.closure(spark.createDataFrame(chain, "src bigint, dst bigint")).collect()}
+    assert all(got[i, j] == j - i for i in range(20) for j in range(i + 1, 21)) and got[100, 100] == 3 and got[101, 100] == 2 and got[7, 7] == 1
+    assert {r["hops"] for r in graph.closure(spark.createDataFrame(chain, "src bigint, dst bigint"), 2).collect()} == {1, 2}
+
+
+def test_pairs_of_a_hub_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART", 3)
+    rows = [(g, m) for g in ("x", "y") for m in range(12)] + [("z", 99), ("z", 1)]
+    got = {(r["a"], r["b"], r["n"]) for r in graph.pairs_sharing(spark.createDataFrame(rows, "g string, m bigint"), "g", "m").collect()}
+    assert got == {(a, b, 2) for a in range(12) for b in range(a + 1, 12)}

@@ -93,7 +93,18 @@ def near_duplicates(df: DataFrame, id_col: str = "sample_id", text: str = "outpu
 
     def verify(b: pa.RecordBatch):
         a, c = b.column("a").to_pylist(), b.column("b").to_pylist()
-        good = [i for i, (s, t) in enumerate(zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist())) if alike(s, t, likeness, shingle)]
+        kept: dict[int, np.ndarray] = {}  # distinct shingles of the batch's distinct texts
+
+        def shingled(node: int, t: str) -> np.ndarray:
+            if node not in kept:
+                kept[node] = np.unique(K.windows("".join(filter(str.isalnum, t)), shingle))
+            return kept[node]
+
+        good = []
+        for i, (s, t) in enumerate(zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist())):
+            one, two = shingled(a[i], s), shingled(c[i], t)
+            if min(len(one), len(two)) >= likeness * max(len(one), len(two)) - 1e-9 and K.jaccard(one, two) >= likeness - 1e-12:
+                good.append(i)
         yield K.table(out, [a[i] for i in good], [c[i] for i in good])
 
     links = C.cut(C.map_rows(C.with_texts(met, members, base, ["text"]), ["text_a", "text_b"], verify, out))
@@ -101,14 +112,6 @@ def near_duplicates(df: DataFrame, id_col: str = "sample_id", text: str = "outpu
     return C.components(links).join(degree, "node"), members
 
 
-def alike(s: str, t: str, likeness: float, shingle: int = 5) -> bool:
-    one, two = K.shingle_sets(s, shingle), K.shingle_sets(t, shingle)
-    if min(len(one), len(two)) < likeness * max(len(one), len(two)):
-        return False
-    both = len(one & two)
-    return both >= likeness * (len(one) + len(two) - both) - 1e-9
-
-
 def found(df: DataFrame) -> DataFrame:
     """(sample_id_a, sample_id_b), smaller first: all pairs of records of one group."""
     groups, members = near_duplicates(df)

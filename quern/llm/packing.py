@@ -90,7 +90,7 @@ def packed(df: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text: str
 
     Method: best-two-fit.  Sizes are counted once on whole texts.  A text larger than the capacity is
     divided into parts of the capacity, which fill containers alone, and a rest; no other text is
-    divided.  Items are dealt in turn to groups of about GROUP_ITEMS, each packed in its own
+    divided.  Items are dealt by a hash to groups of about GROUP_ITEMS, each packed in its own
     task, so at most a few containers of each group stay partly filled; only sizes are shuffled.
     Null and empty texts have no tokens and are placed nowhere, nor are rows with a null id;
     repeated rows are items each, dealt out like any others; an empty table or no profile gives no rows; a capacity that is
@@ -102,8 +102,10 @@ def packed(df: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text: str
     items = sizes.join(F.broadcast(caps), F.lit(True))
     items = items.select("profile", "capacity", "id", F.explode(F.expr("sequence(0L, cast((tokens - 1) div capacity as bigint))")).alias("part"), "tokens")
     items = items.select("profile", "capacity", "id", "part", (F.col("part") * F.col("capacity")).alias("start"), F.least("capacity", F.col("tokens") - F.col("part") * F.col("capacity")).alias("size"))
-    full = items.where("size = capacity").withColumn("no", F.monotonically_increasing_id()).select("profile", "id", "part", "start", "size", F.concat_ws("-", F.lit("full"), F.col("id").cast("string"), F.col("part").cast("string"), F.col("no").cast("string")).alias("container_id"))
-    rest = items.where("size < capacity").withColumn("g", F.pmod(F.monotonically_increasing_id() + F.col("part"), F.lit(groups)))
+    # a number among equal rows, so that a row is placed alike however the table is split and whatever is computed again
+    items = items.groupBy("profile", "capacity", "id", "part", "start", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    full = items.where("size = capacity").select("profile", "id", "part", "start", "size", F.concat_ws("-", F.lit("full"), F.col("id").cast("string"), F.col("part").cast("string"), F.col("no").cast("string")).alias("container_id"))
+    rest = items.where("size < capacity").withColumn("g", F.pmod(F.xxhash64("id", "part", "no"), F.lit(groups)))
 
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "part"], kind="stable")

@@ -66,10 +66,12 @@ def oversized_pieces(df: DataFrame, id_col: str, field: str, limits: DataFrame,
     last the code point) cuts a text into parts under the limit, packed greedily into pieces that
     begin with the end of the piece before.  The work is per row, without a shuffle; limits has a
     few rows (table_name, field_name, max_chars, overlap_chars) and reaches the rows by a join on
-    the table's name.  Null and short texts and fields without a limit give no piece; repeated rows
+    the table's name; two different limits for one field are an error.  Null and short texts and fields without a limit give no piece; repeated rows
     give their pieces each; other columns are ignored.
     """
-    lim = limits.where((F.col("table_name") == table_name) & (F.col("field_name") == field)).select(F.col("max_chars").cast("int").alias("most"), F.col("overlap_chars").cast("int").alias("overlap")).limit(1)
+    lim = limits.where((F.col("table_name") == table_name) & (F.col("field_name") == field)).select(F.col("max_chars").cast("int").alias("most"), F.col("overlap_chars").cast("int").alias("overlap")).distinct()
+    if lim.limit(2).count() > 1:
+        raise ValueError(f"several limits for {table_name}.{field}")
     base = df.select(C.column(df, id_col, "long").alias("row_key"), C.column(df, field, "string").alias("text"))
     rows = base.join(F.broadcast(lim), F.length("text") > F.col("most"))
     schema = pa.schema([("row_key", pa.int64()), ("piece_no", pa.int32()), ("start_char", pa.int64()), ("overlap_chars", pa.int64()), ("piece", pa.string())])

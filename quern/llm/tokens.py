@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import ast
 import base64
 from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common as C
 from . import kernels as K
@@ -21,11 +21,11 @@ FOLDER, FILE = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 def encoder(folder: str = FOLDER, file: str = FILE):
     import tiktoken
 
-    scope: dict = {"__file__": f"{folder}/__init__.py"}
-    exec((Path(folder) / "__init__.py").read_text(), scope)  # noqa: S102 - the vocabulary's own pattern
+    tree = ast.parse((Path(folder) / "__init__.py").read_text())  # the vocabulary's own pattern, read as data
+    pattern = next(ast.literal_eval(x.value) for x in tree.body if isinstance(x, ast.Assign) and x.targets[0].id == "PATTERN")
     with open(Path(folder) / file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=scope["PATTERN"], mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), folder: str = FOLDER, file: str = FILE) -> DataFrame:
@@ -41,6 +41,3 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep
 
     return C.map_rows(base, ["text"], count, schema)
 
-
-def null_safe(c: str):
-    return F.coalesce(F.col(c), F.lit(""))

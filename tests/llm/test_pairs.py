@@ -325,3 +325,58 @@ def test_overlap_merges_spans_of_all_partners(spark):
     rows = [(1, "", one + two + own, "val", "s", "x", "y", "z"), (2, "", one + two[:250], "train", "s", "x", "y", "z"), (3, "", one[50:] + two, "train", "s", "x", "y", "z"), (4, "", text(rng, 90), "test", "s", "x", "y", "z")]
     got = {r["id"]: r for r in overlap.records(spark.createDataFrame(rows, SFT)).collect()}
     assert got[1]["copies"] == 2 and abs(got[1]["coverage"] - 600 / 660) < 1e-9 and got[4]["coverage"] is None
+
+
+def test_near_duplicates_among_boilerplate(spark):
+    """Pairs just above the threshold, all of whose texts share a long notice, are told from the others."""
+    rng = random.Random(37)
+    notice, rows = text(rng, 300), []
+    for i in range(120):
+        own = text(rng, 124)
+        rows += [(2 * i, "", notice + own, "train", "s", "x", "y", "z"), (2 * i + 1, "", notice + own[:29] + text(rng, 95), "train", "s", "x", "y", "z")]
+    assert 0.60 < likeness(rows[0][2], rows[1][2]) < 0.65 and likeness(rows[0][2], rows[2][2]) < 0.60
+    got = {tuple(r) for r in neardup.found(spark.createDataFrame(rows, SFT)).collect()}
+    want = {(2 * i, 2 * i + 1) for i in range(120)}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_a_quotation_of_all_documents_stays_linear(spark):
+    """Coverage and passages hold one row per text and repeat, however many texts share it, and no pairs."""
+    rng = random.Random(41)
+    quote = text(rng, 110)
+    rows = [(i, text(rng, 30) + quote + text(rng, 30)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    runs, _ = spans.shared_spans(df)
+    assert runs.count() <= 4 * len(rows)
+    got = spans.coverage(df).groupBy("shared_chars", "most_texts").count().collect()
+    assert [tuple(r) for r in got] == [(110, 5999, 6000)]
+    assert {tuple(r)[1:] for r in spans.passages(df).limit(50).collect()} == {(30, 110, 5999)}
+
+
+def test_nested_repeats(spark):
+    """A repeat of three texts inside a longer one of two."""
+    rng = random.Random(43)
+    inner, left, right = text(rng, 150), text(rng, 120), text(rng, 120)
+    rows = [(1, left + inner + right), (2, text(rng, 20) + left + inner + right), (3, text(rng, 50) + inner + text(rng, 40)), (4, inner[:99])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {tuple(r) for r in spans.found(df).collect()} == {(1, 2), (1, 3), (2, 3)}
+    cover = {r["id"]: (r["shared_chars"], r["most_texts"]) for r in spans.coverage(df).collect()}
+    assert cover == {1: (390, 2), 2: (390, 2), 3: (150, 2), 4: (0, 0)}
+    assert (3, 50, 150, 2) in {tuple(r) for r in spans.passages(df).collect()}
+
+
+@pytest.mark.parametrize("held,size", [(10**6, 7), (5, 3), (1, 1), (5, 40)])
+def test_runs_are_whole_or_marked(monkeypatch, held, size):
+    monkeypatch.setattr(common, "HELD_ROWS", held)
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.choice([-5, 1, 2, 3, 9], 120)).tolist()
+    batches = [pa.record_batch([pa.array(keys[i : i + size]), pa.array(range(i, min(i + size, 120)))], names=["k", "v"]) for i in range(0, 120, size)]
+    seen, whole = [], {}
+    for t, large in common.runs(iter(batches), size):
+        seen += t.column("v").to_pylist()
+        for k in set(t.column("k").to_pylist()):
+            assert large or k not in whole
+            whole[k] = large
+            if not large:
+                assert t.column("k").to_pylist().count(k) == keys.count(k)
+    assert seen == list(range(120))

@@ -17,6 +17,7 @@ from ..functions import lexicon as X
 from ..functions import text as T
 from ..operators import bm25, fusion, routing, samples, vector, votes
 from ..session import cut
+from . import lexicons as L
 
 NAME = "[一-鿿]{2}[汤散丸饮煎]"
 NOTHING = "抱歉，知识库中没有检索到与这个问题相关的内容。"
@@ -39,6 +40,10 @@ class Lexicons:
     soft: Sequence[str] = ()
 
 
+#: The lists that the catalog's queries use.
+LEXICONS = Lexicons(L.HERBS, (*L.OUT_OF_SCOPE, *L.OUTSIDE_HERE), L.CONCEPT_TABLE, L.QUESTION_WORDS, L.SYMPTOMS, L.COLLOQUIAL, L.RULES, L.SYMPTOM_VOTES, L.SOFT)
+
+
 def formulas_of(clauses: DataFrame, herbs: Sequence[str], syndromes: Sequence[str]) -> DataFrame:
     """(name, clause_id, herbs, syndrome): every formula that a clause names, with the first clause that does
     and what that clause holds of herbs and syndromes."""
@@ -198,13 +203,18 @@ def lectures_for(d: DataFrame, lectures: DataFrame, k: int = 3) -> DataFrame:
     return full.groupBy("query").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["said"]).alias("lectures"))
 
 
-def answer_contexts(questions: DataFrame, clauses: DataFrame, lectures: DataFrame, lex: Lexicons, syndromes: Sequence[str], advice: Sequence[tuple[str, str]] = (), k: int = 5) -> DataFrame:
+def answer_contexts(
+    questions: DataFrame, clauses: DataFrame, lectures: DataFrame | None = None, lex: Lexicons = LEXICONS, syndromes: Sequence[str] = L.MERIDIANS, advice: Sequence[tuple[str, str]] = L.ADVICE, k: int = 5,
+) -> DataFrame:
     """(query, status, route, kind, docs, context, answer, prompt): one row per question (id, question).
 
     Guarded questions are stopped before any search; where symptoms leave several directions open the
     answer is to ask; a diagnosis is answered in layers (direction with evidence and clauses, lectures or
     else the clauses themselves, advice); a question with neither documents nor context is declined;
-    every other one gets a prompt of its documents and context."""
+    every other one gets a prompt of its documents and context.  Without lectures (id, book, text) the
+    clauses stand in for them."""
+    if lectures is None:
+        lectures = questions.sparkSession.createDataFrame([], "id bigint, book string, text string")
     q = cut(understood(questions, lex))
     formulas = cut(formulas_of(clauses, lex.herbs, syndromes))
     c = clauses.select(F.col("clause_id").alias("doc"), F.col("original_text").alias("text"))
@@ -226,4 +236,4 @@ def answer_contexts(questions: DataFrame, clauses: DataFrame, lectures: DataFram
     ask = F.concat(F.lit("能再详细说说您还有哪些不舒服吗？可能的方向："), F.replace("tied", F.lit(","), F.lit("、")))
     answer = F.when(F.col("status") == "clarify", ask).when(F.col("status") == "diagnosed", layered).when(F.col("status") == "out_of_scope", OUTSIDE).when(F.col("status") == "nothing", NOTHING)
     prompt = F.when(F.col("status") == "ok", samples.prompt(F.col("question"), shown, [F.col("context")]))
-    return out.select("query", "status", "route", "kind", F.array_join(F.transform("r", lambda r: r["doc"].cast("string")), ",").alias("docs"), "context", answer.alias("answer"), prompt.alias("prompt"))
+    return out.select("query", "status", "route", "kind", F.coalesce(F.array_join(F.transform("r", lambda r: r["doc"].cast("string")), ","), F.lit("")).alias("docs"), "context", answer.alias("answer"), prompt.alias("prompt"))

@@ -13,7 +13,7 @@ from .common import lit, table
 
 _EVAL = "eval_rigor_results_v1_pre_guard"
 _NAME = "[一-鿿]{2}[汤散丸饮煎]"
-LEXICONS = rag.Lexicons(L.HERBS, (*L.OUT_OF_SCOPE, *L.OUTSIDE_HERE), L.CONCEPT_TABLE, L.QUESTION_WORDS, L.SYMPTOMS, L.COLLOQUIAL, L.RULES, L.SYMPTOM_VOTES, L.SOFT)
+LEXICONS = rag.LEXICONS
 
 
 def _bm25(s, d, k=5):
@@ -76,7 +76,7 @@ def _retrieved(s, d):
 
 def _answers(s, d):
     lectures = table(s, d, "chapters").select(F.col("chapter_id").alias("id"), F.col("pdf_name").alias("book"), F.col("content").alias("text"))
-    return rag.answer_contexts(table(s, d, _EVAL).where("id % 100 = 0"), table(s, d, "clauses"), lectures, LEXICONS, L.MERIDIANS, L.ADVICE)
+    return rag.answer_contexts(table(s, d, _EVAL).where("id % 100 = 0"), table(s, d, "clauses"), lectures, LEXICONS)
 
 
 def queries() -> dict:

@@ -36,7 +36,7 @@ def test_every_kind_of_question(spark):
     assert got[2]["kind"] == "herb" and first(2) == "35" and "共1首：麻黄汤" in got[2]["context"]
     assert got[3]["kind"] == "comparison" and set(got[3]["docs"].split(",")[:2]) == {"12", "35"} and "麻黄汤独有：麻黄、杏仁" in got[3]["context"] and "共有药材：桂枝、甘草" in got[3]["context"]
     assert got[4]["kind"] == "concept" and got[4]["docs"].split(",")[:2] == ["3", "2"] and "【概念参考】少阴病主虚寒。" in got[4]["context"] and "四逆汤：甘草" in got[4]["context"]
-    assert got[5]["status"] == "out_of_scope" and got[5]["answer"] == rag.OUTSIDE and got[5]["docs"] is None
+    assert got[5]["status"] == "out_of_scope" and got[5]["answer"] == rag.OUTSIDE and got[5]["docs"] == ""
     assert got[6]["kind"] == "open" and first(6) == "99" and got[6]["prompt"].endswith("问题：阳合病腹满")
     assert got[7]["status"] == "emergency" and got[8]["status"] == "dose" and got[7]["prompt"] is None
     assert got[9]["status"] == "diagnosed" and got[9]["kind"] == "symptom" and first(9) == "1"

@@ -270,6 +270,75 @@ def _symptoms_sql(c: str) -> str:
     return f"list_filter({both}, lambda w, i: list_position({both}, w) = i)"
 
 
+def _known_sql() -> str:
+    """Understood questions as CTEs, the last one u (query, question, status, route, kind, clause, formula, herbs,
+    entities, concept, symptoms, core, rewritten, formal, longer)."""
+    from .common import cut_words
+    from .texts import _expanded, _route
+
+    q = "question"
+    name, herb = lit(rag.NAME), lit(T.one_of(L.HERBS))
+    uniq = lambda x: f"list_filter({x}, lambda n, i: list_position({x}, n) = i)"
+    longest = lambda x: f"list_transform(list_sort(list_transform({x}, lambda n, i: {{'l': -length(n), 'i': i, 'n': n}})), lambda x: x.n)"
+    part = f"regexp_replace({cut_words('trim(p)', R.QUESTION)}, '^[？?，,的]+|[？?，,的]+$', '', 'g')"
+    rules = "[" + ", ".join(f"{{'s': len(list_intersect(symptoms, {words(need)})) / {len(set(need))}.0::DOUBLE, 'o': {-i}, 'name': {lit(n)}}}" for i, (need, n) in enumerate(L.RULES)) + "]"
+    rewritten = f"coalesce(nullif(regexp_replace({cut_words(q, R.QUESTION)}, '^[{R.PUNCTUATION}]+|[{R.PUNCTUATION}]+$', '', 'g'), ''), {q})"
+    grown = ""
+    for c in L.CONCEPT_TABLE:
+        e = q
+        for w in c[5]:
+            e = f"(CASE WHEN contains({e}, {lit(w)}) THEN {e} ELSE {e} || {lit(' ' + w)} END)"
+        grown += f" WHEN {lit(c[0])} THEN {e}"
+    outside = lit(T.one_of((*L.OUT_OF_SCOPE, *L.OUTSIDE_HERE)))
+    return (
+        f"rt AS ({_route()}), k0 AS (SELECT e.id AS query, {q}, rt.route, regexp_extract_all({q}, {name}) AS nr, regexp_extract_all({q}, {herb}) AS hr, list_filter(list_transform(regexp_split_to_array({q}, '和|与|跟|以及'), lambda p: {part}), lambda p: length(p) >= 2) AS parts, "
+        f"{_symptoms_sql(q)} AS symptoms, {_concept_sql([c[0] for c in L.CONCEPT_TABLE])} AS named, {rewritten} AS rewritten, {_expanded()} AS formal FROM {_EVAL} e JOIN rt USING (id)), "
+        f"k1 AS (SELECT *, {uniq('nr')} AS names, {longest(uniq('hr'))} AS herbs, list_reverse_sort(list_filter({rules}, lambda x: x.s >= 0.5))[1].name AS ruled, CASE named{grown} ELSE {q} END AS grown FROM k0), "
+        f"k2 AS (SELECT *, CASE WHEN regexp_matches({q}, {outside}) THEN 'out_of_scope' WHEN named IS NOT NULL THEN 'concept' WHEN len(symptoms) > 0 AND ruled IS NOT NULL THEN 'symptom' ELSE 'open' END AS sem FROM k1), "
+        f"u AS (SELECT query, {q}, CASE WHEN NOT (length({q}) <= 500 AND trim({q}) <> '') THEN 'invalid' WHEN regexp_matches({q}, {lit(G.DOSE_QUESTION)}) THEN 'dose' WHEN regexp_matches({q}, {lit(G.EMERGENCY_QUESTION)}) THEN 'emergency' ELSE 'ok' END AS status, route, "
+        f"CASE WHEN route = 'semantic' THEN sem ELSE route END AS kind, TRY_CAST(nullif(regexp_extract({q}, '第(\\d+)条', 1), '') AS BIGINT) AS clause, {longest('names')}[1] AS formula, herbs, CASE WHEN len(names) >= 2 THEN {longest('names')} ELSE parts END[1:2] AS entities, "
+        f"CASE sem WHEN 'concept' THEN named WHEN 'symptom' THEN ruled END AS concept, symptoms, regexp_replace(rewritten, '^[？?。.，,的]+|[？?。.，,的]+$', '', 'g') AS core, rewritten, formal, CASE WHEN length(formal) > length(grown) THEN formal ELSE grown END AS longer FROM k2)"
+    )
+
+
+def _votes_of_questions_sql() -> str:
+    from .searches import votes_ctes
+
+    votable = list(dict.fromkeys(a for a, _ in L.SYMPTOM_VOTES))
+    scan = sorted((a for a in votable if len(a) >= 4), key=len, reverse=True)
+    tb = ", ".join(f"({i}, {lit(a)}, {lit(b)})" for i, (a, b) in enumerate(L.SYMPTOM_VOTES))
+    both = f"list_concat(list_filter(symptoms, lambda w: list_contains({words(votable)}, w)), list_filter({words(scan)}, lambda w: contains(question, w)))"
+    return (
+        f"WITH {_known_sql()}, sd AS (SELECT query, list_filter(b, lambda w, i: list_position(b, w) = i) AS said FROM (SELECT query, {both} AS b FROM u WHERE status = 'ok')), tb(ord, symptom, label) AS (VALUES {tb}), c AS (SELECT DISTINCT query AS \"case\", unnest(said) AS symptom FROM sd), {votes_ctes('', L.SOFT)} "
+        "SELECT query, coalesce(status, 'rejected') AS verdict, label, tied, array_to_string(said, ',') AS evidence FROM sd LEFT JOIN vt ON query = \"case\""
+    )
+
+
+def _retrieved_sql(k: int = 5) -> str:
+    """The clauses each question gets, as in rag.retrieved."""
+    fill = lambda stages: f"SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY pl, doc) AS rank FROM (SELECT query, doc, min(stage * 1000000 + rank) AS pl FROM ({' UNION ALL '.join(f'SELECT query, doc, {i} AS stage, rank FROM ({x})' for i, x in enumerate(stages))}) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query ORDER BY pl, doc) <= {k}"
+    fuse = lambda one, two: f"SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY sc DESC, f, doc) AS rank FROM (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS sc, min(l * 1000000 + rank) AS f FROM (SELECT query, doc, rank, 0 AS l FROM ({one}) UNION ALL SELECT query, doc, rank, 1 FROM ({two})) GROUP BY ALL)"
+    ids = ", ".join(f"({lit(c[0])}, {lit(' '.join(c[5]))}, [{', '.join(map(str, dict.fromkeys([*c[2], *c[3]])))}]::BIGINT[])" for c in L.CONCEPT_TABLE)
+    ask = [("f", "formula", "formula"), ("h", "herb", "array_to_string(herbs, ' ')"), ("c", "concept", "words"), ("s", "symptom", "formal"), ("a", "comparison", "entities[1]"), ("b", "comparison", "entities[2]"), ("o", "open", "longer"), ("g", "open", "formal")]
+    near = [("f", "formula", "formula || ' 组成 主之'"), ("a", "comparison", "entities[1]"), ("b", "comparison", "entities[2]"), ("o", "open", "rewritten")]
+    slots = lambda xs: " UNION ALL ".join(f"SELECT query || '/{at}' AS sid, {text} AS text FROM q WHERE kind = '{kind}' AND {text} IS NOT NULL" for at, kind, text in xs)
+    back = lambda name: f"SELECT split_part(query, '/', 1)::BIGINT AS query, split_part(query, '/', 2) AS slot, doc, rank FROM {name}"
+    by = lambda t, at, most=2 * k: f"SELECT query, doc, rank FROM {t} WHERE slot = '{at}' AND rank <= {most}"
+    side = lambda i, at: fill([f"SELECT query, clause_id AS doc, 1 AS rank FROM q JOIN fm ON name = entities[{i}] WHERE kind = 'comparison'", by("w", at, k), by("v", at, k)])
+    first = " UNION ALL ".join([
+        "SELECT query, clause AS doc, 1 AS rank FROM q WHERE kind = 'clause'", "SELECT query, clause_id, 1 FROM q JOIN fm ON name = formula WHERE kind = 'formula'", "SELECT * FROM herbal", "SELECT query, doc, rank FROM (SELECT query, unnest(ids) AS doc, generate_subscripts(ids, 1) - 1 AS rank FROM q WHERE kind IN ('concept', 'symptom')) WHERE doc IN (SELECT clause_id FROM clauses)",
+        "SELECT * FROM fuzzy", f"SELECT * FROM ({fuse(side(1, 'a'), side(2, 'b'))})",
+    ])
+    second = " UNION ALL ".join([by("w", "f"), by("w", "h", k), by("w", "c"), by("w", "s"), f"SELECT * FROM ({fuse(by('w', 'g'), by('v', 'o'))}) WHERE query IN (SELECT query FROM fuzzy)", f"SELECT * FROM ({fuse(by('w', 'o'), by('v', 'o'))}) WHERE query NOT IN (SELECT query FROM fuzzy)"])
+    return (
+        f"WITH {_known_sql()}, {_formulas_sql()}, cl(concept, words, ids) AS (VALUES {ids}), q AS (SELECT u.* REPLACE (CASE WHEN kind = 'clause' AND clause NOT IN (SELECT clause_id FROM clauses) THEN 'open' ELSE kind END AS kind), words, ids FROM u LEFT JOIN cl USING (concept) WHERE status = 'ok' AND query % 100 = 0), "
+        f"asks AS ({slots(ask)}), looks AS ({slots(near)}), {bm25.sql('clauses', 'asks', 'clause_id', 'original_text', 'sid', 'text', 2 * k)}, {vector.text_sql('clauses', 'looks', 'clause_id', 'original_text', 'sid', 'text', 2 * k)}, w AS ({back('bm25')}), v AS ({back('near')}), "
+        "hm AS (SELECT query, name, clause_id AS doc FROM q, fm WHERE kind = 'herb' AND len(list_filter(q.herbs, lambda h: list_contains(fm.herbs, h))) = len(q.herbs)), herbal AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY name, doc) AS rank FROM (SELECT query, doc, min(name) AS name FROM hm GROUP BY ALL)), "
+        "fuzzy AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY doc) AS rank FROM (SELECT DISTINCT query, clause_id AS doc FROM q, fm WHERE kind = 'open' AND fm.syndrome IS NOT NULL AND contains(fm.syndrome, q.core))), "
+        f"done AS ({fill([first, second, by('v', 'f')])}) SELECT query, doc, rank, kind FROM done JOIN q USING (query)"
+    ).replace(" q AS (", " q AS MATERIALIZED (").replace(" w AS (", " w AS MATERIALIZED (").replace(" v AS (", " v AS MATERIALIZED (").replace(" fuzzy AS (", " fuzzy AS MATERIALIZED (").replace("fm AS (", "fm AS MATERIALIZED (")
+
+
 def oracle_sql() -> dict[str, str]:
     nl = "chr(10)"
     ls = f"string_split(text, {nl})"
@@ -292,6 +361,9 @@ def oracle_sql() -> dict[str, str]:
     seen = f"w AS (SELECT question, arg_min(retrieved_ids, id) AS wanted FROM {_EVAL} WHERE retrieved_ids IS NOT NULL GROUP BY 1), x AS (SELECT e.*, w.wanted, CASE WHEN len(w.wanted) > 0 THEN coalesce(list_has_any(retrieved_ids[1:5], w.wanted), false)::INT::DOUBLE END AS h, list_distinct(regexp_extract_all(e.question, '[一-鿿]{{2,}}')) AS k, floor(wall)::BIGINT % 6 AS score FROM {_EVAL} e LEFT JOIN w USING (question))".replace("{{", "{").replace("}}", "}")
     samples_ = f"WITH {_formulas_sql()}, {_clause_samples_sql()}, {_formula_samples_sql()}, {_concept_samples_sql()}, al AS (FROM cs UNION ALL FROM fs UNION ALL FROM ks)"
     return {
+        "question_kinds": f"WITH {_known_sql()} SELECT query, status, kind, concept, array_to_string(entities, ',') AS entities, array_to_string(symptoms, ',') AS symptoms, core, longer FROM u",
+        "question_votes": _votes_of_questions_sql(),
+        "hybrid_retrieval": _retrieved_sql(),
         "not_teaching": f"SELECT doc_id, {some(_LIFE, 3)} AS life, ({some(_LIFE[:4], 2)} OR {contents} OR {early}) AS other FROM documents WHERE text IS NOT NULL",
         "length_quality": "SELECT sample_id, CASE WHEN length(output) < 50 THEN 'short' WHEN length(output) < 100 THEN 'medium' ELSE 'good' END AS quality FROM sft_samples WHERE length(output) >= 30",
         "extraction_verdict": "SELECT pdf_name, round(avg(length(text)), 6) AS mean_chars, CASE WHEN round(avg(length(text)), 6) > 500 THEN 'pass' WHEN round(avg(length(text)), 6) > 100 THEN 'warning' ELSE 'fail' END AS verdict FROM pages GROUP BY 1",

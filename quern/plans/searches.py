@@ -9,7 +9,7 @@ from ..functions import lexicon as X
 from ..operators import bm25, fusion, graph, vector, votes
 from . import lexicons as L
 from . import rag
-from .common import lit, table
+from .common import lit, table, words
 
 _EVAL = "eval_rigor_results_v1_pre_guard"
 _NAME = "[一-鿿]{2}[汤散丸饮煎]"
@@ -123,18 +123,21 @@ def _votes_sql(again: str | None = None) -> str:
     more over all of them, the last one vt2."""
     table_ = ", ".join(f"({i}, {lit(a)}, {lit(b)})" for i, (a, b) in enumerate(L.VOTES))
 
-    def votes(n: str) -> str:
-        return f"""sc{n} AS (SELECT "case", label, count(*) AS n, min(ord) AS ord, bool_and(symptom = 'error') AS soft FROM c{n} JOIN tb USING (symptom) GROUP BY ALL),
+    votes = votes_ctes
+    first = f"""WITH c AS (SELECT DISTINCT user_id || '/' || strftime(ts, '%Y-%m-%d') AS "case", event_type AS symptom FROM events), tb(ord, symptom, label) AS (VALUES {table_}),
+    {votes("")}"""
+    return first + (f""", {again}, c2 AS (SELECT "case", symptom FROM c UNION SELECT "case", symptom FROM again), {votes("2")}""" if again else "")
+
+
+def votes_ctes(n: str, soft: tuple[str, ...] = ("error",)) -> str:
+    """Votes over cases c{n} ("case", symptom) and the table tb (ord, symptom, label), as CTEs ending with vt{n}."""
+    return f"""sc{n} AS (SELECT "case", label, count(*) AS n, min(ord) AS ord, bool_and(list_contains({words(soft)}, symptom)) AS soft FROM c{n} JOIN tb USING (symptom) GROUP BY ALL),
     rk{n} AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(n) OVER w, 0) AS second, max(n) OVER (PARTITION BY "case") AS best FROM sc{n} WINDOW w AS (PARTITION BY "case" ORDER BY n DESC, ord)),
     td{n} AS (SELECT "case", string_agg(label, ',' ORDER BY ord) AS tied FROM rk{n} WHERE n = best GROUP BY 1),
     led{n} AS (SELECT "case", n >= 2 AND n - second >= 1 AND NOT soft AS clear, label, n, second, tied FROM rk{n} JOIN td{n} USING ("case") WHERE rn = 1),
     vt{n} AS (SELECT "case", CASE WHEN clear THEN 'diagnosed' ELSE 'need_clarification' END AS status, CASE WHEN clear THEN label END AS label, n AS top, second, CASE WHEN clear THEN '' ELSE tied END AS tied FROM led{n}
     UNION ALL SELECT DISTINCT "case", 'rejected', NULL, 0, 0, '' FROM c{n} WHERE "case" NOT IN (SELECT "case" FROM led{n}))"""
 
-    first = f"""WITH c AS (SELECT DISTINCT user_id || '/' || strftime(ts, '%Y-%m-%d') AS "case", event_type AS symptom FROM events), tb(ord, symptom, label) AS (VALUES {table_}),
-    {votes("")}"""
-    return first + (f""", {again}, c2 AS (SELECT "case", symptom FROM c UNION SELECT "case", symptom FROM again), {votes("2")}""" if again else "")
-
 
 def oracle_sql() -> dict[str, str]:
     b = lambda k: bm25.sql("clauses", _EVAL, "clause_id", "original_text", "id", "question", k, "id % 100 = 0")

@@ -274,7 +274,7 @@ def _known_sql() -> str:
     """Understood questions as CTEs, the last one u (query, question, status, route, kind, clause, formula, herbs,
     entities, concept, symptoms, core, rewritten, formal, longer)."""
     from .common import cut_words
-    from .texts import _expanded, _route
+    from .texts import _route
 
     q = "question"
     name, herb = lit(rag.NAME), lit(T.one_of(L.HERBS))
@@ -283,16 +283,14 @@ def _known_sql() -> str:
     part = f"regexp_replace({cut_words('trim(p)', R.QUESTION)}, '^[？?，,的]+|[？?，,的]+$', '', 'g')"
     rules = "[" + ", ".join(f"{{'s': len(list_intersect(symptoms, {words(need)})) / {len(set(need))}.0::DOUBLE, 'o': {-i}, 'name': {lit(n)}}}" for i, (need, n) in enumerate(L.RULES)) + "]"
     rewritten = f"coalesce(nullif(regexp_replace({cut_words(q, R.QUESTION)}, '^[{R.PUNCTUATION}]+|[{R.PUNCTUATION}]+$', '', 'g'), ''), {q})"
-    grown = ""
-    for c in L.CONCEPT_TABLE:
-        e = q
-        for w in c[5]:
-            e = f"(CASE WHEN contains({e}, {lit(w)}) THEN {e} ELSE {e} || {lit(' ' + w)} END)"
-        grown += f" WHEN {lit(c[0])} THEN {e}"
+    add = "lambda x, w: CASE WHEN contains(x, w) THEN x ELSE x || ' ' || w END"
+    grown = "".join(f" WHEN {lit(c[0])} THEN list_reduce(list_concat([{q}], {words(c[5])}), {add})" for c in L.CONCEPT_TABLE)
+    said = ", ".join(f"CASE WHEN contains({q}, {lit(a)}) THEN {lit(b)} END" for a, b in L.COLLOQUIAL)
+    formal = f"list_reduce(list_concat([{q}], list_filter([{said}], lambda w: w IS NOT NULL)), {add})"
     outside = lit(T.one_of((*L.OUT_OF_SCOPE, *L.OUTSIDE_HERE)))
     return (
         f"rt AS ({_route()}), k0 AS (SELECT e.id AS query, {q}, rt.route, regexp_extract_all({q}, {name}) AS nr, regexp_extract_all({q}, {herb}) AS hr, list_filter(list_transform(regexp_split_to_array({q}, '和|与|跟|以及'), lambda p: {part}), lambda p: length(p) >= 2) AS parts, "
-        f"{_symptoms_sql(q)} AS symptoms, {_concept_sql([c[0] for c in L.CONCEPT_TABLE])} AS named, {rewritten} AS rewritten, {_expanded()} AS formal FROM {_EVAL} e JOIN rt USING (id)), "
+        f"{_symptoms_sql(q)} AS symptoms, {_concept_sql([c[0] for c in L.CONCEPT_TABLE])} AS named, {rewritten} AS rewritten, {formal} AS formal FROM {_EVAL} e JOIN rt USING (id)), "
         f"k1 AS (SELECT *, {uniq('nr')} AS names, {longest(uniq('hr'))} AS herbs, list_reverse_sort(list_filter({rules}, lambda x: x.s >= 0.5))[1].name AS ruled, CASE named{grown} ELSE {q} END AS grown FROM k0), "
         f"k2 AS (SELECT *, CASE WHEN regexp_matches({q}, {outside}) THEN 'out_of_scope' WHEN named IS NOT NULL THEN 'concept' WHEN len(symptoms) > 0 AND ruled IS NOT NULL THEN 'symptom' ELSE 'open' END AS sem FROM k1), "
         f"u AS (SELECT query, {q}, CASE WHEN NOT (length({q}) <= 500 AND trim({q}) <> '') THEN 'invalid' WHEN regexp_matches({q}, {lit(G.DOSE_QUESTION)}) THEN 'dose' WHEN regexp_matches({q}, {lit(G.EMERGENCY_QUESTION)}) THEN 'emergency' ELSE 'ok' END AS status, route, "

@@ -142,6 +142,11 @@ def sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
     return f(cur[:-rest], cur[rest:]) if rest else cur
 
 
+def anchor_order(hashes: np.ndarray) -> np.ndarray:
+    """What anchors are the least by."""
+    return (hashes >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
+
+
 def anchors(hashes: np.ndarray, starts: np.ndarray, k: int, w: int) -> np.ndarray:
     """Content-defined positions: those whose k-window hash is the least of some w
     neighbouring ones within the row.  Any two texts that share w + k - 1 letters in
@@ -149,7 +154,7 @@ def anchors(hashes: np.ndarray, starts: np.ndarray, k: int, w: int) -> np.ndarra
     n = len(hashes)
     if n < w:
         return np.zeros(0, dtype=np.int64)
-    x = (hashes >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
+    x = anchor_order(hashes)
     low = sliding(x, w, True)
     low = np.where(inside(starts, k + w - 1, len(low)), low, np.uint32(0))
     padded = np.zeros(n + w - 1, dtype=np.uint32)

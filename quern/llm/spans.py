@@ -45,7 +45,10 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _slices(span: int):
     """Cut out what stands around each wanted suffix: the code points that a run of ``span`` holding
-    its prefix may have before it, and those it may have after."""
+    its prefix may have before it, and those it may have after.
+
+    Only runs count in which the suffix's prefix hash is the least of all: every text that holds such a
+    run keeps the suffix there, so its node has all of them; at other suffixes some may be missing."""
     reach = span - PREFIX
 
     def cut(b: pa.RecordBatch):
@@ -62,6 +65,12 @@ def _slices(span: int):
         here = starts[row] + pos
         left = np.minimum(pos, reach)
         right = np.minimum(starts[row + 1] - here - PREFIX, reach)
+        order = K.anchor_order(K.window_hash(K.prefix_hash(cp), PREFIX))
+        for step in range(reach, 0, -1):  # up to the nearest prefix that comes before this one
+            for side, room, sign in ((left, left, -1), (right, right, 1)):
+                at = np.flatnonzero(room >= step)
+                smaller = order[here[at] + sign * step] < order[here[at]]
+                side[at[smaller]] = step - 1
         size = left + right
         step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         idx = np.repeat(here - left, size) + step + np.where(step >= np.repeat(left, size), PREFIX, 0)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata as U
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,9 @@ ODDS, TIMES, SEEN = 10, 3, 4
 #: A reading stands where one of its contexts has it so often, and no other one as often.  One that contexts speak
 #: against so often, and so many times as often as it stands, is taken as wrong wherever it does not stand.
 STANDS, ENOUGH, MOSTLY = 3, 5, 20
-#: Learning glyphs: rows of the sample, letters looked at on either side, occurrences of such surroundings and the
-#: share one letter must have there, surroundings in which the other is met, and how much oftener there than as the
-#: leading one.
-LEARN_ROWS, REACH, FREQUENT, LEADS, PLACES, MISREAD_ODDS = 20_000, 3, 5, 0.75, 3, 4
+#: Learning glyphs: letters looked at on either side, occurrences of such surroundings and the share one letter must
+#: have there, surroundings in which the other is met, and how much oftener there than as the leading one.
+REACH, FREQUENT, LEADS, PLACES, MISREAD_ODDS = 3, 5, 0.75, 3, 4
 
 _HYPHENS = "-‐‑¬­"
 _BROKEN = re.compile(rf"[A-Za-zÀ-ɏ01][{_HYPHENS}][ \t]*\r?(?:\n|$)")
@@ -232,36 +233,117 @@ def _base(tables: list[tuple[DataFrame, str, str]]) -> DataFrame:
     return C.spread(out)
 
 
-def _around(b: pa.RecordBatch):
-    """How often each ideograph stands between the same three letters before and three after it."""
-    cp, starts = K.codepoints(b.column("text"))
+#: Surroundings are counted in ranges of their hash, by a task for so many letters at once.
+RANGE_BITS, HELD_LETTERS = 10, 4_000_000
+#: The first ideograph, and the bits that tell it from the others.
+_HAN, _HAN_BITS = 0x4E00, np.uint64(15)
+_ONE_OF = np.uint64((1 << 15) - 1)
+_PACKED = pa.schema([("range", pa.int32()), ("word", pa.binary()), ("n", pa.binary())])
+_LED = pa.schema([("right", pa.int64()), ("read", pa.int64()), ("n", pa.int64()), ("places", pa.int64())])
+
+
+def _around(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Every ideograph with three letters before and three after it: (hash of these, number of the ideograph)."""
+    cp, starts = K.codepoints(col)
     cp, starts = K.only(cp, starts, ~_spaces()[cp])
     pre, row, n = K.prefix_hash(cp), K.rows_of(starts), REACH
-    i = np.flatnonzero((cp >= 0x4E00) & (cp < 0xA000))
+    i = np.flatnonzero((cp >= _HAN) & (cp < 0xA000))
     i = i[(i >= n) & (i + n < len(cp))]
     i = i[(row[i - n] == row[i]) & (row[i + n] == row[i])]
     key = K.mix(K.segment_hash(pre, i - n, i) * np.uint64(3) + K.segment_hash(pre, i + 1, i + 1 + n))
-    both, first, count = np.unique(K.mix(key) ^ cp[i], return_index=True, return_counts=True)
-    yield K.table(_COUNT, K.signed(key[first]), cp[i][first].astype(np.int64), count.astype(np.int64))
-
-
-def learned(base: DataFrame, rows: int = LEARN_ROWS) -> tuple[str, ...]:
+    return key, (cp[i] - _HAN).astype(np.uint16)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by their bytes, all first ones first, as the shuffle's compression wants them."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _numbers(planes: pa.Scalar, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes.as_buffer(), dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _packed(key: np.ndarray, letter: np.ndarray) -> pa.RecordBatch:
+    """Counts of (surroundings, ideograph), one row per range: words of 49 bits of the hash, beside those of
+    the range, and the ideograph in order, and how often each was met."""
+    part = (key >> np.uint64(64 - RANGE_BITS)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    word = (((key << np.uint64(RANGE_BITS)) & ~_ONE_OF) | letter)[order]
+    bound = np.append(0, np.cumsum(np.bincount(part, minlength=1 << RANGE_BITS)))
+    for a, z in zip(bound[:-1], bound[1:]):
+        word[a:z].sort()
+    first = np.append(True, word[1:] != word[:-1])
+    first[bound[:-1][bound[:-1] < bound[1:]]] = True
+    at = np.flatnonzero(first)
+    n, word = np.diff(np.append(at, len(word))).astype(np.uint32), word[at]
+    cuts = np.searchsorted(at, bound)
+    some = np.flatnonzero(cuts[1:] > cuts[:-1])
+    return K.table(_PACKED, some, [_planes(word[cuts[r] : cuts[r + 1]]) for r in some], [_planes(n[cuts[r] : cuts[r + 1]]) for r in some])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for b in batches:
+        for part in K.slices(b, ["text"]) if b.num_rows else ():
+            held.append(_around(part.column("text")))
+            size += len(held[-1][0])
+            if size >= HELD_LETTERS:
+                yield _packed(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
+    if size:
+        yield _packed(*map(np.concatenate, zip(*held)))
+
+
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From all counts of a range, ranges one after another: how often each ideograph was read, and in how
+    many frequent surroundings, where one (itself or another) leads."""
+    rows = ((r, w, n) for b in batches for r, w, n in zip(b.column("range").to_pylist(), b.column("word"), b.column("n")))
+    for _, group in groupby(rows, key=lambda x: x[0]):
+        words, counts = zip(*((_numbers(w, np.uint64), _numbers(n, np.uint32)) for _, w, n in group))
+        word, n = np.concatenate(words), np.concatenate(counts).astype(np.uint64)
+        order = np.argsort(word)
+        word, n = word[order], n[order]
+        at = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        word, n = word[at], np.add.reduceat(n, at)
+        key, letter = word >> _HAN_BITS, word & _ONE_OF
+        new = np.append(True, key[1:] != key[:-1])
+        at, of = np.flatnonzero(new), np.cumsum(new) - 1
+        every, top = np.add.reduceat(n, at), np.maximum.reduceat(n << _HAN_BITS | letter, at)
+        use = ((every >= FREQUENT) & ((top >> _HAN_BITS) >= every * LEADS))[of]
+        pair, where = np.unique((top & _ONE_OF)[of[use]] << _HAN_BITS | letter[use], return_inverse=True)
+        if len(pair):
+            total = np.zeros(len(pair), dtype=np.uint64)
+            np.add.at(total, where, n[use])
+            yield K.table(_LED, (pair >> _HAN_BITS).astype(np.int64) + _HAN, (pair & _ONE_OF).astype(np.int64) + _HAN, total.astype(np.int64), np.bincount(where))
+
+
+def learned(base: DataFrame) -> tuple[str, ...]:
     """Pairs of glyphs (right, misread) that the corpus itself shows, besides GLYPHS.
 
     Words are grouped by what stands around one of their letters.  A letter that hardly ever stands
     where its surroundings are frequent, but in several of them takes the place of one and the same
-    other letter that all other copies have, is a misreading of that one.  The table is fitted on a
-    sample of about ``rows`` rows; only pairs of letters come to the driver."""
-    n = base.count()
-    some = base if n <= rows else base.sample(rows / n, 11)
-    counts = C.map_rows(some, ["text"], _around, _COUNT).groupBy("key", "var").agg(F.sum("n").alias("n"))
-    groups = counts.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "var")).alias("top"), F.collect_list(F.struct("var", "n")).alias("each")).where(f"all >= {FREQUENT}")
-    groups = groups.where(F.col("top.n") >= F.col("all") * LEADS)
-    seen = groups.select("top.var", F.explode("each").alias("x")).select(F.col("var").alias("right"), F.col("x.var").alias("read"), F.col("x.n").alias("n"))
-    sums = seen.groupBy("right", "read").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("places"))
-    own = sums.where("right = read").select("read", F.col("n").alias("own"))
-    found = sums.where(f"right != read and n >= {ENOUGH} and places >= {PLACES}").join(own, "read", "left").where(f"n >= coalesce(own, 0) * {MISREAD_ODDS}")
-    pairs = [chr(r["right"]) + chr(r["read"]) for r in found.orderBy(F.desc("n"), "right", "read").collect()]
+    other letter that all other copies have, is a misreading of that one; unless it is better known
+    as a misreading of a third one that stands there, too, and as often.  All letters of all rows
+    are counted, packed by range of their surroundings' hash, so that each is shuffled once and a
+    range is counted in one task; only pairs of letters come to the driver."""
+    packed = base.select("text").mapInArrow(_counted, C.ddl(_PACKED))
+    led = packed.repartition("range").sortWithinPartitions("range").mapInArrow(_led, C.ddl(_LED))
+    sums = C.cut(led.groupBy("right", "read").agg(F.sum("n").alias("n"), F.sum("places").alias("places")))
+    leads = F.when(F.expr("right = read"), F.col("n"))
+    each = sums.withColumn("own", F.sum(leads).over(W.partitionBy("read"))).withColumn("leads", F.sum(leads).over(W.partitionBy("right")))
+    found = each.where(f"right != read and n >= {ENOUGH} and places >= {PLACES} and n >= coalesce(own, 0) * {MISREAD_ODDS}")
+    found = {(r["right"], r["read"]): (r["n"], r["n"] / r["leads"]) for r in found.orderBy(F.desc("n"), "right", "read").collect()}
+    # what each is a misreading of, and of how large a part of it; of all that the table knows, before any other
+    share: dict[int, dict[int, float]] = {}
+    for (right, read), (_, part) in found.items():
+        share.setdefault(read, {})[right] = part
+    for right, read in GLYPHS.split():
+        share.setdefault(ord(read), {})[ord(right)] = 1.0
+    third = {p: [x for x, part in share[p[1]].items() if x != p[0] and part > found[p][1]] for p in found}
+    asked = [(right << 21) + x for (right, _), most in third.items() for x in most]
+    there = {(r["right"], r["read"]): r["n"] for r in sums.where(((F.col("right") * (1 << 21)) + F.col("read")).isin(asked)).collect()} if asked else {}
+    pairs = [chr(p[0]) + chr(p[1]) for p, (n, _) in found.items() if not any(there.get((p[0], x), 0) >= n for x in third[p])]
     known = set(GLYPHS.split())
     return tuple(p for p in pairs if p not in known and canonical(p[0]) != canonical(p[1]) and not set(p) & set("一二三四五六七八九十百千万两〇零"))
 

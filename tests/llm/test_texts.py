@@ -3,6 +3,7 @@
 import random
 import unicodedata as U
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -214,6 +215,48 @@ def test_glyphs_are_learned_from_the_corpus(spark):
     assert got == {(1000 + i, "misread") for i in range(12)}
 
 
+def test_glyphs_are_learned_from_all_rows(spark):
+    """Six misread letters in a corpus of 100,000 rows, and a misreading of a letter that shares another one's places."""
+    places = [("天地玄黄", "宇宙洪荒"), ("日月盈昃", "辰宿列张"), ("寒来暑往", "秋收冬藏")]
+    rows = [(i, f"甲，{a}{x}{b}。", "z") for i, (x, (a, b)) in enumerate([("鑫", p) for p in places * 20] + [("淼", p) for p in places * 2])]
+    rows += [(1000 + i, f"甲，{a}大{x}{b}。", "z") for i, (x, (a, b)) in enumerate([(x, p) for p in places for x in "黄" * 40 + "枣" * 4 + "束" * 2])]
+    rows += [(1200 + i, "甲，闰余成枣岁律吕。", "z") for i in range(20)]
+    more = spark.range(2000, 102_000, numPartitions=8).selectExpr("id", "'乙' as t", "'z' as noise")
+    df = spark.createDataFrame(rows, "id bigint, t string, noise string").unionByName(more)
+    assert scans.learned(scans._base([(df, "id", "t")])) == ("鑫淼",)
+    got = {(r["row_key"], r["noise"]) for r in scans.found({"a": (df, "id", "t")}).collect()}
+    assert got >= {(60 + i, "misread") for i in range(6)} and all(60 <= k < 66 or k >= 1000 for k, _ in got)
+
+
+def test_packed_counts_of_glyphs_are_whole(monkeypatch):
+    """However the letters fall to batches, tasks and ranges, every one with its surroundings is counted once."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("天地玄黄 a\n") for _ in range(rng.randrange(40))) for _ in range(300)] + ["天地玄黄天地玄" * 9] * 40
+    want: dict = {}
+    for t in texts:
+        t = "".join(t.split())
+        for i in range(3, len(t) - 3):
+            if t[i] >= "一":
+                here = want.setdefault((t[i - 3 : i], t[i + 1 : i + 4]), {})
+                here[t[i]] = here.get(t[i], 0) + 1
+    sums: dict = {}
+    for here in want.values():
+        n, top = max((n, x) for x, n in here.items())
+        if sum(here.values()) >= scans.FREQUENT and n >= sum(here.values()) * scans.LEADS:
+            for x, n in here.items():
+                a, b = sums.get((ord(top), ord(x)), (0, 0))
+                sums[ord(top), ord(x)] = a + n, b + 1
+    monkeypatch.setattr(scans, "HELD_LETTERS", 500)
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 37])], ["text"]) for i in range(0, len(texts), 37)]
+    packed = sorted((r for b in scans._counted(iter(batches)) for r in b.to_pylist()), key=lambda r: r["range"])
+    got: dict = {}
+    for b in scans._led(iter([pa.RecordBatch.from_pylist(packed[i : i + 50], scans._PACKED) for i in range(0, len(packed), 50)])):
+        for r in b.to_pylist():
+            a, c = got.get((r["right"], r["read"]), (0, 0))
+            got[r["right"], r["read"]] = a + r["n"], c + r["places"]
+    assert got == sums and len(sums) > 4
+
+
 @pytest.mark.parametrize("answer,kind", [
     ("<div><p>桂枝三两，一升一降。", "truncated"), ("<div><p>桂枝三两，一升一降。</p></div>", None), ("<!-- 桂枝三两，一升一降。", "truncated"), ("桂枝**三两，一升一降。", "truncated"), ("桂枝**三两**，一升一降。", None), ("他说\"桂枝三两，一升一降。", "truncated"),
     ("他说\"桂枝三两\"，一升一降。", None), ("~~~\nx = 1\n~~~", None), ("先看代码：\n```\nx = (1\n```", None), ("用`桂枝三两。", "truncated"), ("桂枝三两，一升一降。<di", "truncated"), ("（一）桂枝三两。\n（二）一升一降。", None), ("1) 桂枝三两。\n2) 一升一降。", None),
